@@ -100,6 +100,11 @@ def fetch_totals(fetches: DataFrame) -> DataFrame:
     )
 
 
+def _by_id(a: Column, b: Column) -> Column:
+    # Items hold maps, which have no order of their own.
+    return F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
+
+
 def aggregate_results(
     items: DataFrame, fetches: DataFrame, run_ts: datetime | Column, part_size: int = PART_SIZE
 ) -> DataFrame:
@@ -125,7 +130,7 @@ def aggregate_results(
         items.join(totals.select("source_id", "part_count"), "source_id")
         .withColumn("part", part_number(F.col("id"), F.col("part_count")))
         .groupBy("source_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("id", *rest))).alias("items"))
+        .agg(F.array_sort(F.collect_list(F.struct("id", *rest)), _by_id).alias("items"))
     )
     slots = totals.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("part_count") - 1)))
     empty = F.array().cast(packed.schema["items"].dataType)

@@ -31,10 +31,11 @@ XML_OPTIONS = {"ignoreSurroundingSpaces": "false"}
 
 
 def extract_html(pages: DataFrame, selectors: dict[str, str], body: str = "html") -> DataFrame:
-    """One item per page from literal leaf selectors; adds a column per field."""
+    """One item per page from literal leaf selectors; a field replaces a column of its
+    name."""
     visible = pages.withColumn("_markup", drop_hidden_markup(F.col(body)))
     fields = [first_match(f, F.col("_markup"), s).alias(f) for f, s in selectors.items()]
-    kept = [c for c in pages.columns if c != body]
+    kept = [c for c in pages.columns if c != body and c not in selectors]
     return visible.select(*kept, *fields)
 
 
@@ -42,7 +43,7 @@ def extract_multi(pages: DataFrame, selectors: dict[str, str], body: str = "html
     """List fields (categories, tags, images, links); duplicates are kept."""
     visible = pages.withColumn("_markup", drop_hidden_markup(F.col(body)))
     fields = [all_matches(f, F.col("_markup"), s).alias(f) for f, s in selectors.items()]
-    kept = [c for c in pages.columns if c != body]
+    kept = [c for c in pages.columns if c != body and c not in selectors]
     return visible.select(*kept, *fields)
 
 
@@ -316,6 +317,8 @@ def dispatch_extract(
 ) -> DataFrame:
     """Items and error rows of all bodies, each read by its source's parser.
 
+    An item without an address of its own has that of its fetch.
+
     The built-in parsers share one pass. Every job added by `register_extractor`
     gets the bodies of its type as a pass of its own.
     """
@@ -326,11 +329,13 @@ def dispatch_extract(
         common = sources.filter(~F.coalesce(parser.isin(*custom), F.lit(False)))
     results = parse_results(jobs, common, xml_row_elements)
     kept = [c for c in results.columns if c not in ("items", "error")]
-    one_error = F.array(F.lit(None).cast(ITEMS_TYPE[len("array<"):-1]))
-    out = (
-        results.withColumn("items", F.when(F.col("error").isNotNull(), one_error).otherwise(F.col("items")))
-        .select(*kept, "error", F.posexplode("items").alias("item_no", "_item"))
-        .select(*kept, "item_no", "_item.*", "error")
+    carried = [c for c in kept if c != "url"]
+    one_error = F.array(F.lit(None).cast(f"struct<{ITEM}>"))
+    rows = F.when(F.col("error").isNotNull(), one_error).otherwise(F.col("items"))
+    fields = [F.col(f"_item.{f}") for f in (*ITEM_FIELDS, "extra") if f != "url"]
+    item_url = F.coalesce(F.col("_item.url"), F.col("url")) if "url" in kept else F.col("_item.url")
+    out = results.select(*kept, "error", F.posexplode(rows).alias("item_no", "_item")).select(
+        *carried, "item_no", item_url.alias("url"), *fields, "error"
     )
     for name, job in custom.items():
         own = jobs.join(sources.filter(parser == name).select("source_id"), "source_id", "left_semi")

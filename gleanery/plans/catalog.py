@@ -250,9 +250,10 @@ def effective_headers(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def extract_html(spark: SparkSession, sf: str) -> DataFrame:
     pages = views.read(spark, sf, "pages")
-    fields = {"title": "h1", "content": "article", "author": "div.ad", "url": "nav a", "date": "footer"}
-    fields["url"] = "a[href]"
-    return extract.extract_html(pages, fields).drop("html").withColumn("content", F.md5("content"))
+    fields = {
+        "title": "h1", "content": "article", "author": "div.ad", "url": "a[href]", "date": "footer",
+    }
+    return extract.extract_html(pages, fields).withColumn("content", F.md5("content"))
 
 
 @query
@@ -587,10 +588,12 @@ def write_csv(spark: SparkSession, sf: str) -> DataFrame:
     writers.write_results(_results(spark, sf), path, "csv")
     rows = (
         spark.read.schema("Content string, `Error Count` bigint")
-        .option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "")
-        .option("nullValue", "\0").csv(path)
+        .option("header", True).option("escape", '"').option("multiLine", True)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )
+    return rows.select(
+        F.coalesce("Content", F.lit("")).alias("content"), F.col("Error Count").alias("error_count")
     )
-    return rows.withColumnsRenamed({"Content": "content", "Error Count": "error_count"})
 
 
 @query
@@ -688,7 +691,7 @@ def stream_sink(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def register_normalizer(spark: SparkSession, sf: str) -> DataFrame:
     known = Registry()
-    known.register_normalizer("pdf", lambda c: F.upper(text.trim_text(c)))
+    known.register_normalizer("pdf", lambda c: F.lower(text.trim_text(c)))
     known.register_normalizer("json", lambda c: F.length(c).cast("string"))
     return normalize.normalize_by_type(views.padded_texts(spark, sf), known).select(
         "doc_id", F.md5("content").alias("content"), "error"
