@@ -74,17 +74,24 @@ def selector_pattern(selector: Column, attribute: Column | None = None) -> Colum
     ).otherwise(F.concat(opening, F.lit(r"[^>]*>(.*?)</\1\s*>")))
 
 
+# Attribute read for a field whose selector names none. URLs are
+# addresses, not link texts.
+FIELD_ATTRIBUTES = {"url": "href", "links": "href", "images": "src"}
+
+
 def field_attribute(field: str) -> Column:
-    """Attribute read by default for a field: URLs are addresses, not link texts."""
-    return F.lit({"url": "href", "links": "href", "images": "src"}.get(field)).cast("string")
+    return F.lit(FIELD_ATTRIBUTES.get(field)).cast("string")
 
 
-def field_patterns(field: str, selector: Column | str) -> Column:
-    """Patterns of a comma list of selectors, in order of preference."""
-    text = F.lit(selector) if isinstance(selector, str) else selector
-    return F.transform(
-        F.split(text, ","), lambda s: selector_pattern(s, field_attribute(field))
-    )
+def compiled_patterns(selectors: Column) -> Column:
+    """Map of field -> comma list of selectors to map of field -> patterns, in order
+    of preference."""
+
+    def compile_one(field: Column, listed: Column) -> Column:
+        attribute = F.when(field.isin("url", "links"), "href").when(field == "images", "src")
+        return F.transform(F.split(listed, ","), lambda s: selector_pattern(s, attribute))
+
+    return F.transform_values(selectors, compile_one)
 
 
 def clean_value(field: str, value: Column) -> Column:
@@ -105,12 +112,17 @@ def first_match(field: str, markup: Column, selector: str) -> Column:
     return F.coalesce(*candidates)
 
 
-def first_match_of(field: str, markup: Column, patterns: Column) -> Column:
-    """The same over a column of compiled patterns."""
-    values = F.transform(
-        patterns, lambda p: clean_value(field, _extract(markup, p))
-    )
-    return F.try_element_at(F.filter(values, lambda v: v != ""), F.lit(1))
+def matched_fields(markup: Column, patterns: Column) -> Column:
+    """Map of field -> first non-blank value, over a map of compiled patterns."""
+
+    def value(field: Column, candidates: Column) -> Column:
+        found = F.transform(candidates, lambda p: _extract(markup, p))
+        cleaned = F.transform(
+            found, lambda v: F.when(field == "content", trim_text(v)).otherwise(strip_html(v))
+        )
+        return F.try_element_at(F.filter(cleaned, lambda v: v != ""), F.lit(1))
+
+    return F.transform_values(patterns, value)
 
 
 def all_matches(field: str, markup: Column, selector: str) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 # The characters with the Unicode White_Space property.
@@ -45,7 +48,9 @@ def trim_text(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(trim_text(c), F.lit(""))
+    """Trimmed text, null if nothing is left. `c` is evaluated once, which matters
+    when it is a long chain of replacements."""
+    return F.try_element_at(F.filter(F.array(trim_text(c)), lambda v: v != ""), F.lit(1))
 
 
 def truncate_text(c: Column, n: int) -> Column:
@@ -80,16 +85,23 @@ def first_non_empty(*columns: Column) -> Column:
     return F.coalesce(*(blank_to_null(c) for c in columns))
 
 
-def contains_any(c: Column, words: list[str]) -> Column:
-    """True if the text holds any of the words, ignoring case; short lists stay a
-    chain of substring tests, long ones become one alternation."""
-    if not words:
-        return F.lit(False)
-    lowered = F.lower(c)
-    if len(words) <= 16:
-        found = F.lit(False)
-        for word in words:
-            found = found | F.contains(lowered, F.lit(word.lower()))
-        return found
-    quoted = "|".join(r"\Q" + w.lower().replace(r"\E", r"\E\\E\Q") + r"\E" for w in words)
-    return lowered.rlike(quoted)
+def contains_any(columns: list[Column], words: list[str]) -> Column:
+    """True if one of the texts holds one of the words, ignoring case.
+
+    Each text is lower-cased once. Short lists are substring tests, long ones one
+    alternation.
+    """
+    lowered = [w.lower() for w in words]
+
+    def found(text: Column) -> Column:
+        if len(lowered) > 16:
+            return F.rlike(text, F.lit("|".join(_literal(w) for w in lowered)))
+        return reduce(or_, (F.contains(text, F.lit(w)) for w in lowered), F.lit(False))
+
+    texts = F.array(*(F.lower(F.coalesce(c, F.lit(""))) for c in columns))
+    return F.exists(texts, found)
+
+
+def _literal(word: str) -> str:
+    """A word as a pattern that matches nothing else."""
+    return r"\Q" + word.replace(r"\E", r"\E\\E\Q") + r"\E"

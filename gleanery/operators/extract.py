@@ -14,18 +14,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions.collections import extra_fields
 from gleanery.functions.registry import Registry
-from gleanery.functions.selectors import (
-    all_matches,
-    field_patterns,
-    first_match,
-    first_match_of,
-)
+from gleanery.functions.selectors import all_matches, first_match, matched_fields
 from gleanery.functions.text import drop_hidden_markup
 from gleanery.operators.joins import enrich_with_source
 from gleanery.schemas import ITEM, ITEM_FIELDS
-from gleanery.sources.registry import compile_selectors
+from gleanery.sources.registry import extraction_rules
 
-ITEMS_TYPE = f"array<struct<{ITEM}>>"
 RECORDS = "array<map<string,string>>"
 XML_OPTIONS = {"ignoreSurroundingSpaces": "false"}
 
@@ -216,20 +210,15 @@ def rss_records(body: Column) -> Column:
     return F.from_xml(body, schema, XML_OPTIONS)["channel"]["item"]
 
 
-def html_items(body: Column, patterns: Column) -> Column:
-    """Items of one page from compiled patterns: one per container, or one per page."""
+def html_records(body: Column, patterns: Column) -> Column:
+    """Field values as maps from compiled patterns: one per container, or one per page."""
     markup = drop_hidden_markup(body)
     container = F.try_element_at(F.try_element_at(patterns, F.lit("container")), F.lit(1))
     parts = F.when(container.isNull(), F.array(markup)).otherwise(
         F.regexp_extract_all(markup, container, F.lit(0))
     )
-    no_extra = F.create_map().cast("map<string,string>")
-
-    def one(part: Column) -> Column:
-        values = {f: first_match_of(f, part, F.try_element_at(patterns, F.lit(f))) for f in ITEM_FIELDS}
-        return _item(values, no_extra)
-
-    return F.transform(parts, one)
+    fields = F.map_filter(patterns, lambda field, _: field != "container")
+    return F.transform(parts, lambda part: matched_fields(part, fields))
 
 
 def _mapping_literal(mappings: dict[str, str]) -> Column:
@@ -271,36 +260,30 @@ def parse_results(
     `jobs` has source_id and body; `sources` chooses parser, selectors and mappings.
     A job that already carries an `error` keeps it and is not read.
     """
-    rules = compile_selectors(sources).select(
-        "source_id",
-        F.coalesce(F.nullif("parser", F.lit("")), "type").alias("_parser"),
-        F.coalesce("mappings", F.create_map().cast("map<string,string>")).alias("_mappings"),
-        F.col("patterns").alias("_patterns"),
+    rules = extraction_rules(sources).withColumnsRenamed(
+        {"parser": "_parser", "patterns": "_patterns", "mappings": "_mappings"}
     )
     parser, body, mappings = F.col("_parser"), F.col("body"), F.col("_mappings")
     readers = {
-        "html": html_items(body, F.col("_patterns")),
-        "json": _items_from_records(json_records(body, mappings), mappings),
-        "xml": _items_from_records(xml_records(body, mappings, xml_row_elements), mappings),
-        "rss": _items_from_records(rss_records(body), mappings),
+        "html": html_records(body, F.col("_patterns")),
+        "json": json_records(body, mappings),
+        "xml": xml_records(body, mappings, xml_row_elements),
+        "rss": rss_records(body),
     }
     earlier = F.col("error") if "error" in jobs.columns else F.lit(None).cast("string")
-    items = F.when(earlier.isNotNull(), F.lit(None).cast(ITEMS_TYPE))
+    records = F.when(earlier.isNotNull(), F.lit(None).cast(RECORDS))
     for name, read in readers.items():
-        items = items.when(parser == name, read.cast(ITEMS_TYPE))
+        records = records.when(parser == name, read)
     known = F.coalesce(parser.isin(*readers), F.lit(False))
+    no_parser = F.when(
+        ~known, F.concat(F.lit("no parser available for type: "), F.coalesce(parser, F.lit("")))
+    )
     kept = [c for c in jobs.columns if c not in ("body", "error")]
     read_once = enrich_with_source(jobs, rules).select(
         *kept,
         parser.alias("extracted_by"),
-        items.alias("items"),
-        F.coalesce(
-            earlier,
-            F.when(
-                ~known,
-                F.concat(F.lit("no parser available for type: "), F.coalesce(parser, F.lit(""))),
-            ),
-        ).alias("_error"),
+        _items_from_records(records, mappings).alias("items"),
+        F.coalesce(earlier, no_parser).alias("_error"),
     )
     unreadable = F.when(
         F.col("items").isNull(),

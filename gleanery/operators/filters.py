@@ -38,16 +38,16 @@ def filter_keywords(
     exclude: list[str] | tuple[str, ...] = EXCLUDE_WORDS,
     columns: tuple[str, ...] = ("title", "content"),
 ) -> DataFrame:
-    """Keep rows that hold an include word (or the list is empty) and no exclude word."""
-
-    def anywhere(words: list[str]) -> Column:
-        found = F.lit(False)
-        for name in columns:
-            found = found | F.coalesce(contains_any(F.col(name), words), F.lit(False))
-        return found
+    """Keep rows that hold an include word (or the list is empty) and no exclude word.
 
+    The verdict is made in a generator, not in a filter: a filter would be moved below
+    the projection that computes the texts and compute them again for every test.
+    """
+    texts = [F.col(name) for name in columns]
+    keep = F.lit(True)
     if include:
-        items = items.filter(anywhere(list(include)))
+        keep = keep & contains_any(texts, list(include))
     if exclude:
-        items = items.filter(~anywhere(list(exclude)))
-    return items
+        keep = keep & ~contains_any(texts, list(exclude))
+    kept = items.select("*", F.explode(F.array(keep)).alias("_keep")).filter("_keep")
+    return kept.drop("_keep")

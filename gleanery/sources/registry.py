@@ -8,8 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.functions.selectors import field_patterns
-from gleanery.schemas import ITEM_FIELDS, PARSERS, SOURCES
+from gleanery.functions.selectors import compiled_patterns
+from gleanery.schemas import PARSERS, SOURCES
 
 
 def load_sources(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
@@ -113,17 +113,20 @@ def frontier_top(sources: DataFrame, n: int) -> DataFrame:
     return frontier_order(sources).limit(n)
 
 
-def compile_selectors(sources: DataFrame) -> DataFrame:
-    """Add `patterns`: item field -> compiled patterns, plus the container's.
+def extraction_rules(sources: DataFrame) -> DataFrame:
+    """(source_id, parser, patterns, mappings): what is needed to read a body.
 
-    Done once per source row, before the sources meet the pages.
+    Selectors become patterns once per source row, before the sources meet the pages.
+    HTML records are keyed by field already, so their mapping is field -> field.
     """
-    entries = [
-        F.struct(
-            F.lit(field).alias("key"),
-            field_patterns(field, F.try_element_at("selectors", F.lit(field))).alias("value"),
-        )
-        for field in (*ITEM_FIELDS, "container")
-    ]
-    known = F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
-    return sources.withColumn("patterns", F.map_from_entries(known))
+    none = F.create_map().cast("map<string,string>")
+    selectors = F.coalesce("selectors", none)
+    parser = F.coalesce(F.nullif("parser", F.lit("")), "type")
+    return sources.select(
+        "source_id",
+        parser.alias("parser"),
+        F.when(parser == "html", compiled_patterns(selectors)).alias("patterns"),
+        F.when(parser == "html", F.transform_values(selectors, lambda k, _: k))
+        .otherwise(F.coalesce("mappings", none))
+        .alias("mappings"),
+    )
