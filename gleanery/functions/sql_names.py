@@ -33,10 +33,16 @@ def _trim(c: str) -> str:
 
 
 def _strip(c: str) -> str:
-    out = f"regexp_replace(regexp_replace({c}, {_raw(HIDDEN_MARKUP)}, ' '), {_raw(TAG)}, ' ')"
-    for name, char in ENTITIES:
-        out = f"replace({out}, {_text(name)}, {_text(char)})"
-    return _trim(f"regexp_replace({out}, {_raw(SPACES)}, ' ')")
+    visible = f"regexp_replace(regexp_replace({c}, {_raw(HIDDEN_MARKUP)}, ' '), {_raw(TAG)}, ' ')"
+    cases = " ".join(
+        f"WHEN startswith(p, '{name};') THEN concat({_text(char)}, substr(p, {len(name) + 2}))"
+        for name, char in ENTITIES
+    )
+    decoded = (
+        f"array_join(transform(split({visible}, '&'), "
+        f"(p, i) -> CASE WHEN i = 0 THEN p {cases} ELSE concat('&', p) END), '')"
+    )
+    return _trim(f"regexp_replace({decoded}, {_raw(SPACES)}, ' ')")
 
 
 def _parse_date(c: str) -> str:
