@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gleanery.operators.lookup import lookup_join
+
 PART_SIZE = 1000
 
 COUNTERS = ("successful_fetches", "failed_fetches", "successful_parses", "failed_parses")
@@ -125,9 +127,8 @@ def aggregate_results(
     )
     fields = [c for c in items.columns if c != "source_id"]
     rest = [c for c in fields if c != "id"]
-    # Inner join, so that a skewed source can be split; sources without items follow.
     packed = (
-        items.join(totals.select("source_id", "part_count"), "source_id")
+        lookup_join(items, totals.select("source_id", "part_count"), "source_id")
         .withColumn("part", part_number(F.col("id"), F.col("part_count")))
         .groupBy("source_id", "part")
         .agg(F.array_sort(F.collect_list(F.struct("id", *rest)), _by_id).alias("items"))
@@ -170,6 +171,7 @@ def result_rollup(
         F.ceil(F.col("_n") / part_size).alias("part_count"),
         statistics.alias("statistics"),
     )
+
     def in_order(name: str) -> Column:
         pairs = F.collect_list(
             F.when(F.col(name).isNotNull(), F.struct(F.col(key).alias("k"), F.col(name).alias("v")))
@@ -177,7 +179,7 @@ def result_rollup(
         return F.transform(F.array_sort(pairs), lambda p: p["v"])
 
     packed = (
-        outcomes.join(counted.select("source_id", "part_count"), "source_id")
+        lookup_join(outcomes, counted.select("source_id", "part_count"), "source_id")
         .withColumn("part", part_number(F.col(key), F.col("part_count")))
         .groupBy("source_id", "part")
         .agg(in_order("content").alias("contents"), in_order("error").alias("errors"))

@@ -1,18 +1,15 @@
-"""Sources and outcomes joined to fetches and items.
-
-No join carries a broadcast hint: the planner broadcasts a side whose size is known
-to be below `spark.sql.autoBroadcastJoinThreshold`. Above it, the large side is the
-one adaptive execution may split when a source holds much of the data.
-"""
+"""Sources and outcomes joined to fetches and items."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from gleanery.operators.lookup import lookup_join
+
 
 def enrich_with_source(records: DataFrame, sources: DataFrame, key: str = "source_id") -> DataFrame:
     """Source attributes on each fetch or item."""
-    return records.join(sources, key, "inner")
+    return lookup_join(records, sources, key)
 
 
 def source_outcomes(sources: DataFrame, fetches: DataFrame, parses: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleanery.functions.urls import url_host
+from gleanery.operators.lookup import lookup_join
 from gleanery.operators.slices import (
     HOT_ROWS,
     carry_over,
@@ -34,12 +35,8 @@ def host_limits(sources: DataFrame) -> DataFrame:
 def domain_rate_limit(
     urls: DataFrame, sources: DataFrame, default: int = DEFAULT_RPM
 ) -> DataFrame:
-    """Add `rpm` to rows with a `host`.
-
-    No join hint: the planner broadcasts the limits if they are below its size
-    threshold, and otherwise splits skewed hosts at run time.
-    """
-    limited = urls.join(host_limits(sources), "host", "left")
+    """Add `rpm` to rows with a `host`."""
+    limited = lookup_join(urls, host_limits(sources), "host", "left")
     return limited.withColumn("rpm", F.coalesce("rpm", F.lit(default)))
 
 
@@ -139,7 +136,7 @@ def crawl_delay_audit(
     gap = F.unix_micros("ts") - F.unix_micros(F.coalesce("_previous", "_carry"))
     wanted = F.coalesce(F.col("delay_s").cast("bigint") * 1000, F.lit(default_ms).cast("bigint"))
     return (
-        rows.join(delays, "host", "left")
+        lookup_join(rows, delays, "host", "left")
         .select(*requests.columns, gap.alias("gap_us"), wanted.alias("delay_ms"))
         .filter("gap_us < delay_ms * 1000")
     )

@@ -12,6 +12,7 @@ from gleanery.functions.robots_txt import (
     rules_for_agent,
 )
 from gleanery.functions.urls import request_path, url_host, url_path, url_query
+from gleanery.operators.lookup import lookup_join
 from gleanery.operators.slices import (
     HOT_ROWS,
     carry_over,
@@ -64,16 +65,14 @@ def robots_rules(bodies: DataFrame, agent: Column | str) -> DataFrame:
 def robots_allowed(urls: DataFrame, bodies: DataFrame, agent: str) -> DataFrame:
     """Add `allowed` to each row with a `url`.
 
-    The rules of a host travel as one array of one robots body, so the join is one
-    row to one host and no (URL, rule) pairs are made. Without a join hint: the
-    planner broadcasts the rules below its size threshold and splits skewed hosts
-    at run time otherwise.
+    `bodies` has one robots body per host. Its rules travel as one array, so the join
+    is one row to one host and no (URL, rule) pairs are made.
     """
     url = F.col("url")
     requests = urls.withColumn("_host", url_host(url))
     rules = robots_rules(bodies, agent).withColumnRenamed("host", "_host")
     verdict = is_allowed(F.col("rules"), request_path(url_path(url), url_query(url)))
-    return requests.join(rules, "_host", "left").select(
+    return lookup_join(requests, rules, "_host", "left").select(
         *urls.columns, F.coalesce(verdict, F.lit(True)).alias("allowed")
     )
 

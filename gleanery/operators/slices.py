@@ -47,7 +47,7 @@ def slice_hot_keys(
 
 
 def slice_window(key: str, *order: str | Column):
-    return Window.partitionBy(key, "_slice").orderBy(*order)
+    return Window.partitionBy(key, "_slice", "_hot").orderBy(*order)
 
 
 def carry_over(
@@ -57,15 +57,18 @@ def carry_over(
 
     `summary` are aggregates per slice; `carried` are expressions over the summary
     columns, evaluated in `earlier_slices(key)` windows. The rows are already
-    partitioned by (key, slice), so only the summary rows move.
+    partitioned by (key, slice), so only the summary rows move for the join. `_hot` is
+    part of every key, so that its filter passes below the windows and the summary
+    reads no row of another key.
     """
-    per_slice = sliced.filter("_hot").groupBy(key, "_slice").agg(
+    cell = [key, "_slice", "_hot"]
+    per_slice = sliced.filter("_hot").groupBy(*cell).agg(
         *(c.alias(name) for name, c in summary.items())
     )
     scanned = per_slice
     for name, c in carried.items():
         scanned = scanned.withColumn(name, c)
-    return sliced.join(scanned.select(key, "_slice", *carried), [key, "_slice"], "left")
+    return sliced.join(scanned.select(*cell, *carried), cell, "left")
 
 
 def earlier_slices(key: str):
