@@ -4,7 +4,8 @@ A selector (`tag`, `tag.class`, `.class`, `#id`, `[attr]`, `tag[attr=value]`, ea
 with an optional `@attribute`) becomes a pattern through string expressions. A
 literal selector folds to a literal pattern, which is compiled once per task; a
 selector held in a source row becomes a pattern column of the small sources table.
-Elements nested in an element of the same tag need `extract_html_items`.
+Elements nested in an element of the same tag need `extract_html_items`. An element
+that is never closed runs to the end of the page, which keeps the search linear.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import Column, functions as F
 
 from gleanery.functions.text import blank_to_null, strip_html, trim_text
 
+# Elements without content.
+VOID = "(?:area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)"
+
 # Captured group that holds an element's inner markup or an attribute value.
 VALUE_GROUP = 2
 
@@ -63,15 +67,17 @@ def selector_pattern(selector: Column, attribute: Column | None = None) -> Colum
         .otherwise(F.concat(F.lit(r"(?=[^>]*\s"), _quoted(attr), F.lit(r"[\s=/>])")))
     )
     opening = F.concat(
-        F.lit(r"(?is)<("), tag_pattern, F.lit(r")(?=[\s/>])"), class_test, id_test, attr_test
+        F.lit("("), tag_pattern, F.lit(r")(?=[\s/>])"), class_test, id_test, attr_test
     )
     return F.when(
         wanted.isNotNull(),
         F.concat(
-            opening, F.lit(r"[^>]*?\s"), _quoted(wanted),
+            F.lit("(?is)<"), opening, F.lit(r"[^>]*?\s"), _quoted(wanted),
             F.lit(r"""\s*=\s*["']?((?<=")[^">]*|(?<=')[^'>]*|[^\s"'>]+)"""),
         ),
-    ).otherwise(F.concat(opening, F.lit(r"[^>]*>(.*?)</\1\s*>")))
+    ).otherwise(
+        F.concat(F.lit(rf"(?is)<(?!{VOID}[\s/>])"), opening, F.lit(r"[^>]*>(.*?)(?:</\1\s*>|\z)"))
+    )
 
 
 # Attribute read for a field whose selector names none. URLs are

@@ -35,9 +35,13 @@ HTML_ESCAPES = (
     ("'", "&#39;"),
 )
 
-# Literals and lazy dots behind one `<`: linear, and read alike by RE2.
-HIDDEN_MARKUP = r"(?is)<(?:script\b[^>]*>.*?</script\s*>|style\b[^>]*>.*?</style\s*>|!--.*?-->)"
-TAG = r"<[^>]*>"
+# Markup that is never closed runs to the end of the text, as in browsers. So a match
+# always consumes what it has looked at, and a text of any length is read in linear time.
+HIDDEN_MARKUP = (
+    r"(?is)<(?:script\b[^>]*>.*?(?:</script\s*>|\z)"
+    r"|style\b[^>]*>.*?(?:</style\s*>|\z)|!--.*?(?:-->|\z))"
+)
+TAG = r"<[A-Za-z/!?][^>]*(?:>|\z)"
 SPACES = r"[ \t\n\x0b\f\r\xa0]+"
 
 

@@ -163,14 +163,12 @@ def result_rollup(
         F.count("content").alias("_contents"),
         F.count("error").alias("_errors"),
     )
+    counted = totals.select(
+        "source_id", F.ceil(F.col("_n") / part_size).alias("part_count"), "_contents", "_errors"
+    )
     statistics = F.map_from_arrays(
         F.array(F.lit("contents"), F.lit("errors")), F.array("_contents", "_errors")
     )
-    counted = totals.select(
-        "source_id",
-        F.ceil(F.col("_n") / part_size).alias("part_count"),
-        statistics.alias("statistics"),
-    )
 
     def in_order(name: str) -> Column:
         pairs = F.collect_list(
@@ -178,14 +176,15 @@ def result_rollup(
         )
         return F.transform(F.array_sort(pairs), lambda p: p["v"])
 
-    packed = (
-        lookup_join(outcomes, counted.select("source_id", "part_count"), "source_id")
+    # The source's totals travel as grouping keys, so they need no second join.
+    return (
+        lookup_join(outcomes, counted, "source_id")
         .withColumn("part", part_number(F.col(key), F.col("part_count")))
-        .groupBy("source_id", "part")
+        .groupBy("source_id", "part", "part_count", "_contents", "_errors")
         .agg(in_order("content").alias("contents"), in_order("error").alias("errors"))
-    )
-    return packed.join(counted, "source_id").select(
-        "source_id", "part", "part_count", "contents", "statistics", "errors"
+        .select(
+            "source_id", "part", "part_count", "contents", statistics.alias("statistics"), "errors"
+        )
     )
 
 

@@ -91,7 +91,7 @@ def sources_by_tag(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def filter_sources_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    names = "blog_tionsh_example_com, ththre_example_com,none"
+    names = "blog_tionsh_example_com, therwh_example_org,none"
     return registry.filter_sources_by_name(views.page_sources(spark, sf), names).select("source_id", "name")
 
 
@@ -530,7 +530,11 @@ def result_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fetch_latency(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregates.fetch_latency(views.fetches(spark, sf))
+    found = aggregates.fetch_latency(views.fetches(spark, sf))
+    thousandths = {c: F.round(F.col(f"{c}_ms") * 1000).cast("bigint") for c in ("mean", "p50", "p95")}
+    return found.select(
+        "source_id", "fetches", "total_ms", *(v.alias(f"{c}_us") for c, v in thousandths.items())
+    )
 
 
 # --- collections ----------------------------------------------------------------
@@ -621,6 +625,16 @@ def write_html(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
+@query
+def write_results(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_dir(spark, "results") + "/out"
+    writers.write_results(_results(spark, sf), path, "json")
+    rows = spark.read.schema(
+        "source_id string, part bigint, contents array<string>, errors array<string>"
+    ).json(path)
+    return rows.select("source_id", "part", _joined("contents"), _joined("errors"))
+
+
 # --- streams: run to the end over the files, read back --------------------------
 
 

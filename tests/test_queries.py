@@ -1,0 +1,78 @@
+"""Every registered query against its SQL twin, and the shape of the plans."""
+
+import math
+import sys
+from collections import Counter
+
+import duckdb
+import pytest
+
+from conftest import ROOT, SF
+
+sys.path.insert(0, ROOT)
+
+import __spark_entry__ as entry_point  # noqa: E402
+
+QUERIES = entry_point.queries()
+ORACLE = entry_point.oracle_sql()
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings "
+    "pages benchmark labels conversations"
+).split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for table in TABLES:
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    return connection
+
+
+def plain(value):
+    if isinstance(value, float):
+        return None if math.isnan(value) else round(value, 6)
+    return value
+
+
+def test_every_query_has_a_twin():
+    assert set(QUERIES) == set(ORACLE)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, duck, name):
+    frame = QUERIES[name](spark, SF)
+    columns = sorted(frame.columns)
+    kinds = {t for _, t in frame.dtypes}
+    assert not any(k.startswith(("map", "array", "struct", "timestamp", "variant")) for k in kinds)
+    got = Counter(tuple(plain(r[c]) for c in columns) for r in frame.collect())
+    result = duck.execute(ORACLE[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == columns
+    order = [names.index(c) for c in columns]
+    want = Counter(tuple(plain(r[i]) for i in order) for r in result.fetchall())
+    assert got == want and got
+
+
+def test_entry(spark):
+    frame = entry_point.entry(spark)
+    assert frame.columns == ["host", "pages", "content_chars", "last_title"] and frame.count() > 0
+
+
+PYTHON_JOBS = {"extract_html_items"}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(("stream", "write"))))
+def test_plan(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert ("Python" in plan or "InPandas" in plan) == (name in PYTHON_JOBS)
+    assert "SinglePartition" not in plan or name == "run_stats"
+
+
+def test_pushdown(spark):
+    plan = QUERIES["filter_date"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp>" in plan
+    plan = QUERIES["paginate"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "html" not in plan

@@ -42,6 +42,14 @@ def test_selectors(one, field, selector, value):
     assert one(per_row, h=PAGE) == {field: value}
 
 
+def test_unclosed_elements(one):
+    page = "<meta name=d><p>one<p>two<br>"
+    assert one(first_match("title", F.col("h"), "p"), h=page) == "one two"
+    assert one(first_match("title", F.col("h"), "meta[name=d], br"), h=page) is None
+    many = "<p>x" * 100_000
+    assert one(F.size(all_matches("tags", F.col("h"), "p")), h=many) == 1
+
+
 def test_lists(one):
     assert one(all_matches("links", F.col("h"), "a"), h=PAGE) == ["/m?x=1", "/n"]
     assert one(all_matches("images", F.col("h"), "img"), h=PAGE) == ["/i.png", "/j.png"]
