@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from gleanery.plans.catalog import QUERIES  # noqa: E402
+from gleanery.session import BUILD_SETTINGS  # noqa: E402
 
 HEADLINE = [
     "host_report",
@@ -59,6 +60,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "8g")
+        .config(map=BUILD_SETTINGS)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")

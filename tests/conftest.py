@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from gleanery.session import configure  # noqa: E402
+from gleanery.session import BUILD_SETTINGS, configure  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,6 +20,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
+        .config(map=BUILD_SETTINGS)
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
