@@ -123,10 +123,6 @@ class _Containers(HTMLParser):
         for _, _, parts in self.open_texts:
             parts.append(data)
 
-    def finish(self) -> list[dict[str, str]]:
-        self.close_all()
-        return self.items
-
     def close_all(self) -> None:
         while self.stack:
             _, opened, is_item = self.stack.pop()

@@ -1,8 +1,8 @@
 """Ordered per-key computations that survive a key holding much of the data.
 
 A window partitioned by key alone puts all rows of a key into one task. Here a key
-with more than `hot_rows` rows is cut into equal time slices; windows run per
-(key, slice), one summary row per slice of a hot key is scanned in order, and its
+with more than `hot_rows` rows is cut into slices that follow its order; windows run
+per (key, slice), one summary row per slice of a hot key is scanned in order, and its
 result is carried back to the rows of the later slices. Other keys have the single
 slice 0 and take the plain one-shuffle path.
 """
@@ -10,40 +10,71 @@ slice 0 and take the plain one-shuffle path.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 HOT_ROWS = 1_000_000
-# Slices per `hot_rows` rows of a hot key, to leave room for uneven traffic.
+# Slices per `hot_rows` rows, to leave room for uneven traffic.
 SPREAD = 8
 
 
+def _position(value: Column, low: Column, high: Column, rows: Column, hot_rows: int) -> Column:
+    """Number of the equal-width slice of [low, high] that holds the value."""
+    slices = F.ceil(rows * F.lit(SPREAD) / F.lit(hot_rows))
+    return F.floor((value - low) / F.greatest((high - low + 1) / slices, F.lit(1.0)))
+
+
 def slice_hot_keys(
     df: DataFrame, key: str, ts: str, tie: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Add `_hot` and `_slice`. Rows without a key belong together with no other row.
+    """Add `_hot` and `_slice`, which grows with (ts, tie) inside a key.
+
+    A hot key is cut by time. A slice that is still too large is cut once more: by time
+    again, or by the tie (if it is a whole number) when all its times are equal. Rows
+    without a key belong together with no other row.
 
-    The table of hot keys has at most `rows / hot_rows` rows, so it is broadcast.
+    The tables of hot keys and of crowded slices have at most `rows / hot_rows` rows
+    each, so they are broadcast.
     """
     micros = F.unix_micros(ts)
+    order = F.col(tie) if isinstance(df.schema[tie].dataType, IntegralType) else F.lit(0)
+    measures = [
+        F.count("*").alias("_rows"), F.min(micros).alias("_from"), F.max(micros).alias("_to")
+    ]
     hot = (
         df.groupBy(F.col(key).alias("_key"))
-        .agg(F.count("*").alias("_rows"), F.min(micros).alias("_from"), F.max(micros).alias("_to"))
+        .agg(*measures)
         .filter(F.col("_key").isNotNull() & (F.col("_rows") > hot_rows))
     )
-    slices = F.ceil(F.col("_rows") * F.lit(SPREAD) / F.lit(hot_rows))
-    # The slice is a function of the time alone: equal times share a slice.
-    width = F.greatest((F.col("_to") - F.col("_from") + 1) / slices, F.lit(1.0))
-    position = F.floor((micros - F.col("_from")) / width)
-    return (
+    by_time = _position(micros, F.col("_from"), F.col("_to"), F.col("_rows"), hot_rows)
+    cut = (
         df.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left")
         .withColumn("_hot", F.col("_key").isNotNull())
         .withColumn(
-            "_slice",
-            F.when(F.col("_hot"), position)
+            "_first",
+            F.when(F.col("_hot"), by_time)
             .when(F.col(key).isNull(), F.xxhash64(ts, tie))
             .otherwise(F.lit(0)),
         )
         .drop("_key", "_rows", "_from", "_to")
     )
+    crowded = (
+        cut.filter("_hot")
+        .groupBy(F.col(key).alias("_key"), F.col("_first").alias("_cell"))
+        .agg(*measures, F.min(order).alias("_low"), F.max(order).alias("_high"))
+        .filter(F.col("_rows") > hot_rows)
+    )
+    by_tie = _position(order, F.col("_low"), F.col("_high"), F.col("_rows"), hot_rows)
+    second = F.when(F.col("_from") < F.col("_to"), by_time).otherwise(by_tie)
+    cell = (F.col(key) == F.col("_key")) & (F.col("_first") == F.col("_cell"))
+    return (
+        cut.join(F.broadcast(crowded), cell, "left")
+        .withColumn(
+            "_slice",
+            F.when(F.col("_hot"), F.col("_first") * 2**32 + F.coalesce(second, F.lit(0)))
+            .otherwise(F.col("_first")),
+        )
+        .drop("_first", "_key", "_cell", "_rows", "_from", "_to", "_low", "_high")
+    )
 
 
 def slice_window(key: str, *order: str | Column):

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from gleanery.operators import limits
+from gleanery.operators.slices import slice_hot_keys
 
 START = datetime(2024, 1, 1)
 
@@ -26,6 +27,27 @@ def traffic():
     return rows
 
 
+@pytest.mark.parametrize("spread", ["burst", "equal"])
+def test_crowded_slices_are_cut_again(spark, spread):
+    """A hot key with nearly all rows at one instant, or in a short burst."""
+    rows = []
+    for i in range(2000):
+        micros = 0 if spread == "equal" else i % 700
+        rows.append((i, "hot", START + timedelta(microseconds=micros), 6))
+    rows += [(3000, "hot", at(86400), 6), (3001, "cold", at(5), 6)]
+    frame = spark.createDataFrame(rows, "id bigint, host string, ts timestamp, rpm int")
+    sliced = slice_hot_keys(frame, "host", "ts", "id", hot_rows=100)
+    sizes = [r["count"] for r in sliced.groupBy("host", "_slice").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 100
+    ordered = [r._slice for r in sliced.filter("host = 'hot'").orderBy("ts", "id").collect()]
+    assert ordered == sorted(ordered)
+    got = {r.id: r.release_ts for r in limits.token_bucket_schedule(frame, key="host", hot_rows=100).collect()}
+    hot = sorted((ts, i) for i, host, ts, _ in rows if host == "hot")
+    micros = [round((ts - START).total_seconds() * 1e6) for ts, _ in hot]
+    for (_, i), want in zip(hot, replay(micros, 10_000_000, 6)):
+        assert round((got[i] - START).total_seconds() * 1e6) == want
+
+
 def replay(times, token, capacity):
     """Sequential bucket: continuous refill, first come first served."""
     level, last, released = capacity * token, None, []
