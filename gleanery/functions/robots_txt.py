@@ -94,21 +94,25 @@ def rules_for_agent(groups: Column, agent: Column) -> Column:
     return F.when(F.size(own) > 0, rules(own)).otherwise(rules(pick(F.lit("*"))))
 
 
-def is_allowed(rules: Column, path: Column) -> Column:
-    """Verdict of the longest matching rule, the earlier one on ties; none: allowed."""
-
-    def prefix(rule: Column) -> Column:
-        return F.regexp_replace(rule["path"], r"[*]$", "")
-
-    matching = F.filter(rules, lambda r: F.startswith(path, prefix(r)))
-    best = F.array_max(
-        F.transform(
-            matching,
-            lambda r: F.struct(
-                F.length(prefix(r)).alias("n"), (-r["pos"]).alias("p"), r["allow"].alias("allow")
-            ),
+def prepared_rules(rules: Column) -> Column:
+    """Rules as prefixes, in structs that sort by precedence: longer prefix, then
+    earlier line. A trailing `*` stands for any rest."""
+
+    def prepare(rule: Column) -> Column:
+        prefix = F.regexp_replace(rule["path"], r"[*]$", "")
+        return F.struct(
+            F.length(prefix).alias("n"),
+            (-rule["pos"]).alias("p"),
+            rule["allow"].alias("allow"),
+            prefix.alias("prefix"),
         )
-    )
+
+    return F.transform(rules, prepare)
+
+
+def is_allowed(prepared: Column, path: Column) -> Column:
+    """Verdict of the rule of highest precedence that matches; none: allowed."""
+    best = F.array_max(F.filter(prepared, lambda r: F.startswith(path, r["prefix"])))
     return F.coalesce(best["allow"], F.lit(True))
 
 

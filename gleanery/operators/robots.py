@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleanery.functions.robots_txt import (
     is_allowed,
+    prepared_rules,
     robots_delay_seconds,
     robots_groups,
     robots_sitemap_urls,
@@ -55,11 +56,10 @@ def robots_crawl_delay(bodies: DataFrame) -> DataFrame:
 
 
 def robots_rules(bodies: DataFrame, agent: Column | str) -> DataFrame:
-    """(host, rules) that apply to one agent, one row per body."""
+    """(host, rules) that apply to one agent, ready for matching, one row per body."""
     name = F.lit(agent) if isinstance(agent, str) else agent
-    return bodies.select(
-        "host", rules_for_agent(robots_groups(F.col("body")), name).alias("rules")
-    )
+    rules = rules_for_agent(robots_groups(F.col("body")), name)
+    return bodies.select("host", prepared_rules(rules).alias("rules"))
 
 
 def robots_allowed(urls: DataFrame, bodies: DataFrame, agent: str) -> DataFrame:

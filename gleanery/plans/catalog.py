@@ -768,6 +768,14 @@ def sql_parse_robots(spark: SparkSession, sf: str) -> DataFrame:
 # --- whole dataflows ------------------------------------------------------------
 
 
+@query
+def crawl_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    planned = flow.crawl_schedule(
+        views.page_sources(spark, sf), views.robots(spark, sf), AGENT, views.run_ts()
+    )
+    return planned.select("source_id", "page", "url", "host", "rpm", _micros("release_ts"), "wait_ms")
+
+
 @query
 def host_report(spark: SparkSession, sf: str) -> DataFrame:
     return flow.host_report(views.read(spark, sf, "pages"), INCLUDE, EXCLUDE)

@@ -1,4 +1,4 @@
-"""The dataflow from recorded fetches to result items."""
+"""The dataflow: from sources to scheduled requests, from fetches to result items."""
 
 from __future__ import annotations
 
@@ -13,7 +13,45 @@ from gleanery.functions.urls import url_host
 from gleanery.operators.extract import dispatch_extract
 from gleanery.operators.fetches import classify_fetch
 from gleanery.operators.filters import filter_keywords
+from gleanery.operators.limits import domain_rate_limit, token_bucket_schedule
 from gleanery.operators.normalize import build_result_items, normalize_items
+from gleanery.operators.robots import robots_allowed
+from gleanery.session import written
+from gleanery.sources.frontier import paginate
+from gleanery.sources.registry import enabled_sources
+
+
+def crawl_schedule(
+    sources: DataFrame, robots_bodies: DataFrame, agent: str, start: datetime | Column
+) -> DataFrame:
+    """When each page of the enabled sources may be requested: (source_id, page, url,
+    host, rpm, release_ts, wait_ms).
+
+    Pages that robots rules forbid are left out for sources that respect them. Requests
+    to a host wait for its token bucket, higher priority first, then in source order.
+    """
+    enabled = enabled_sources(sources)
+    pages = paginate(enabled, keep=("respect_robots", "priority", "pos"))
+    checked = robots_allowed(pages, robots_bodies, agent)
+    wanted = checked.filter(F.col("allowed") | ~F.coalesce("respect_robots", F.lit(False)))
+    limited = domain_rate_limit(wanted.withColumn("host", url_host(F.col("url"))), sources)
+    # One number that sorts as (-priority, pos, page).
+    rank = (
+        F.coalesce("priority", F.lit(0)).cast("bigint") * -(2**48)
+        + F.col("pos") * 2**16
+        + F.col("page")
+    )
+    requests = limited.select(
+        "source_id",
+        "page",
+        "url",
+        "host",
+        "rpm",
+        (start if isinstance(start, Column) else F.lit(start)).alias("ts"),
+        rank.alias("id"),
+    )
+    # The schedule reads its input several times; the verdicts are made once.
+    return token_bucket_schedule(written(requests, "requests"), key="host").drop("ts", "id")
 
 
 def items_with_errors(

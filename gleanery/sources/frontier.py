@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from gleanery.functions.urls import url_with_page
 
 
-def paginate(sources: DataFrame) -> DataFrame:
-    """One row (source_id, page, url) per page; at least one page per source."""
+def paginate(sources: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row (source_id, page, url) per page; at least one page per source. Columns
+    named in `keep` are carried along."""
     enabled = F.coalesce(F.col("pagination.enabled"), F.lit(False))
     start = F.coalesce(F.col("pagination.start_page"), F.lit(1))
     count = F.when(enabled, F.greatest(F.col("pagination.max_pages"), F.lit(1))).otherwise(1)
@@ -17,6 +18,7 @@ def paginate(sources: DataFrame) -> DataFrame:
         "source_id",
         "page",
         url_with_page(F.col("url"), F.col("page"), enabled, F.col("pagination.param_name")).alias("url"),
+        *keep,
     )
 
 
