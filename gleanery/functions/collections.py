@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from gleanery.schemas import ITEM_FIELDS, RESULT_TYPES
 
-DEFAULT_USER_AGENT = "ContentAggregator/1.0"
+DEFAULT_USER_AGENT = "gleanery/1.0"
 
 # Whole-word category replacements.
 CATEGORY_WORDS = {"tech": "technology", "prog": "programming"}
