@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,19 +29,48 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_BASES: dict[str, str] = {}
+
+
+def scratch_base(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``. Only a session of one machine
+    (master ``local``) may go without it, and then gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if re.fullmatch(r"local(\[[^\]]*\])?", context.master) is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _LOCAL_BASES:
+        _LOCAL_BASES[context.applicationId] = tempfile.mkdtemp(prefix="gleanery-")
+    return _LOCAL_BASES[context.applicationId]
+
+
+def session_folder(spark: SparkSession) -> str:
+    return f"{scratch_base(spark)}/gleanery/{spark.sparkContext.applicationId}"
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name for intermediate tables and stream checkpoints.
+    """A new folder name for intermediate tables and stream checkpoints."""
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(target, True)
+
 
-    It lies in the shared folder of ``spark.checkpoint.dir``; only a session
-    without that setting (a local test) gets a machine-local folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleanery-")
-    return f"{base.rstrip('/')}/gleanery/{name}-{uuid.uuid4().hex}"
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this session; frames over them end with it."""
+    remove_folder(spark, session_folder(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the scratch folder, for input that is read several times
-    and costs more to compute than to read. Later readers get only their columns."""
+    and costs more to compute than to read. Later readers get only their columns. The
+    table stays until ``remove_scratch``."""
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
