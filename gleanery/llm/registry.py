@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from gleanery.llm.suffix_arrays import op5_decontaminate
+from gleanery.llm.token_files import op7_token_files
 
 QUERIES = {
     "op5_decontaminate": op5_decontaminate,
+    "op7_token_files": op7_token_files,
 }
 
 ORACLE: dict[str, str] = {}
