@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from gleanery.llm.archives import OP9_SQL, op9_warc
+from gleanery.llm.simhash import op2_near_duplicates
 from gleanery.llm.suffix_arrays import op5_decontaminate
 from gleanery.llm.token_files import op7_token_files
 
 QUERIES = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op5_decontaminate": op5_decontaminate,
     "op7_token_files": op7_token_files,
+    "op9_warc": op9_warc,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_warc": OP9_SQL,
+}
