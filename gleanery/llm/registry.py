@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gleanery.llm.archives import OP9_SQL, op9_warc
+from gleanery.llm.cube import op6_mix
 from gleanery.llm.simhash import op2_near_duplicates
 from gleanery.llm.suffix_arrays import op5_decontaminate
 from gleanery.llm.token_files import op7_token_files
@@ -10,6 +11,7 @@ from gleanery.llm.token_files import op7_token_files
 QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op5_decontaminate": op5_decontaminate,
+    "op6_mix": op6_mix,
     "op7_token_files": op7_token_files,
     "op9_warc": op9_warc,
 }
