@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from gleanery.llm.archives import OP9_SQL, op9_warc
 from gleanery.llm.cube import op6_mix
+from gleanery.llm.preference import op1_quality
 from gleanery.llm.simhash import op2_near_duplicates
 from gleanery.llm.suffix_arrays import op5_decontaminate
 from gleanery.llm.token_files import op7_token_files
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_near_duplicates": op2_near_duplicates,
     "op5_decontaminate": op5_decontaminate,
     "op6_mix": op6_mix,
