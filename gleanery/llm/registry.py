@@ -8,10 +8,12 @@ from gleanery.llm.preference import op1_quality
 from gleanery.llm.simhash import op2_near_duplicates
 from gleanery.llm.suffix_arrays import op5_decontaminate
 from gleanery.llm.token_files import op7_token_files
+from gleanery.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_near_duplicates": op2_near_duplicates,
+    "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_mix": op6_mix,
     "op7_token_files": op7_token_files,
