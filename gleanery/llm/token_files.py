@@ -18,7 +18,10 @@ their first record. Records with a null id come first and have no key.
 
 from __future__ import annotations
 
+import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +38,10 @@ VOCABULARY = "byte_bpe_50k.json"
 BLOCK_IDS = 1 << 16
 # Keys per part of the index.
 PART_KEYS = 50_000
-# Encoded words that a worker remembers.
-CACHED_WORDS = 400_000
+# Words that a worker remembers with their ids; at most twice as many.
+CACHED_WORDS = 500_000
+# Begins a piece that follows the one before without a space.
+GLUE = "\0"
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -45,45 +50,56 @@ class Encoder:
     """Encodes texts word by word, and each word once.
 
     The pre-tokenizer cuts before every single space that stands between two other
-    characters, and on both sides of such a single line break. So the ids of a text
-    are the ids of these pieces in a row. A text with other white space, or with the
-    name of a special token, is encoded as a whole.
+    characters, and on both sides of such a single line break. So the ids of a text are
+    the ids of these pieces in a row. A text with other white space, or with the name of
+    a special token, is encoded as a whole.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = np.dtype(f"<u{self.width}")
-        self.words: dict[str, bytes] = {}
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = regex.compile("|".join([r"\s\s", r"\s\Z", *map(regex.escape, special)]))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # What was used since the caches were last full, and what was used before that.
+        self.words, self.old_words = {}, {}
         self.line = self._raw(["\n"])[0]
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        own = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            own.byteswap()
+        return own.tobytes()
+
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
+        return [self._bytes(x.ids) for x in found]
+
+    def _is_regular(self, text: str) -> bool:
+        """Single spaces and line breaks inside are all the white space there is."""
+        flat = text.replace("\n", " ")
+        plain = flat.isprintable() and "  " not in flat and flat[:1] != " " and flat[-1:] != " "
+        return plain and not any(s in text for s in self.special)
+
+    def _learn(self, missing: set[str]) -> None:
+        kept = {word for word in missing if word in self.old_words}
+        self.words.update((word, self.old_words[word]) for word in kept)
+        new = list(missing - kept)
+        self.words.update(zip(new, self._raw([w[1:] if w[0] == GLUE else " " + w for w in new])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        end = np.array([END_ID], self.kind).tobytes()
+        end = self._bytes([END_ID])
         pieces: list[list[str] | None] = []
-        missing: set[str] = set()
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
         for text in texts:
-            lined = "\n" + text
-            if self.whole.search(lined):
-                pieces.append(None)
-                continue
-            # A piece is " word" without its space, or a line break and the word after it.
-            own = lined.replace("\n", " \n").split(" ")[1:]
-            pieces.append(own)
-            missing.update(set(own).difference(self.words))
-        new = list(missing)
-        raw = self._raw([w if w[0] == "\n" else " " + w for w in new])
-        self.words.update(zip(new, raw))
+            # A piece is " word" without its space, or GLUE, a line break and the word after it.
+            lined = ("\n" + text).replace("\n", f" {GLUE}\n") if self._is_regular(text) else None
+            pieces.append(lined and lined.split(" ")[1:])
+        if len(self.words) > CACHED_WORDS:
+            self.old_words, self.words = self.words, {}
+        missing: set[str] = set()
+        for own in pieces:
+            missing.update(set(own or ()).difference(self.words))
+        self._learn(missing)
         get = self.words.__getitem__
         known = [None if own is None else b"".join(map(get, own))[len(self.line) :] for own in pieces]
         rest = iter(self._raw([t for t, own in zip(texts, pieces) if own is None]))
@@ -91,8 +107,6 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
