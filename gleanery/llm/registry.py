@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gleanery.llm.archives import OP9_SQL, op9_warc
 from gleanery.llm.cube import op6_mix
+from gleanery.llm.personal_data import op3_personal_data
 from gleanery.llm.preference import op1_quality
 from gleanery.llm.simhash import op2_near_duplicates
 from gleanery.llm.suffix_arrays import op5_decontaminate
@@ -13,6 +14,7 @@ from gleanery.llm.toxicity import op4_toxicity
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_personal_data": op3_personal_data,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_mix": op6_mix,
