@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gleanery.llm.archives import OP9_SQL, op9_warc
 from gleanery.llm.cube import op6_mix
+from gleanery.llm.impact_index import OP8_SQL, op8_top_k
 from gleanery.llm.personal_data import op3_personal_data
 from gleanery.llm.preference import op1_quality
 from gleanery.llm.simhash import op2_near_duplicates
@@ -19,9 +20,11 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_mix": op6_mix,
     "op7_token_files": op7_token_files,
+    "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,
 }
 
 ORACLE: dict[str, str] = {
+    "op8_top_k": OP8_SQL,
     "op9_warc": OP9_SQL,
 }
