@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gleanery.llm.archives import OP9_SQL, op9_warc
+from gleanery.llm.block_labeller import op10_main_text
 from gleanery.llm.cube import op6_mix
 from gleanery.llm.impact_index import OP8_SQL, op8_top_k
 from gleanery.llm.personal_data import op3_personal_data
@@ -12,6 +13,14 @@ from gleanery.llm.suffix_arrays import op5_decontaminate
 from gleanery.llm.token_files import op7_token_files
 from gleanery.llm.toxicity import op4_toxicity
 
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_near_duplicates": op2_near_duplicates,
@@ -22,6 +31,8 @@ QUERIES = {
     "op7_token_files": op7_token_files,
     "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,
+    "op10_main_text": op10_main_text,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {
