@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from gleanery.llm.common import fold, packed, table
 from gleanery.llm.labelled import training_sample
@@ -80,7 +81,7 @@ _LETTERS_OUT = {c: None for c in range(0x250) if chr(c).isalnum() or chr(c).issp
 _UPPER = {chr(c) for c in range(0x250) if chr(c).isupper()}
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(ArrayType(DoubleType()))
 def quality_features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         yield pa.array([features_of(t or "") for t in texts.to_pylist()], pa.list_(pa.float64()))

@@ -21,6 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType
 
 from gleanery.llm.common import packed, table, utf8_buffer
 from gleanery.llm.components import components
@@ -62,7 +63,7 @@ def fingerprint_of(text: bytes) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(starts)).tobytes(), "big")
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """SimHash of each text as a signed long: lower-cased A-Z, words between ASCII white
     space, shingles of three words with repeats, XXH64 with seed 42. A text of fewer

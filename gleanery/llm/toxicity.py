@@ -19,6 +19,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from gleanery.llm.common import fold, packed, table
 from gleanery.llm.labelled import training_sample
@@ -133,7 +134,7 @@ def toxic_features(lexicons):
     return F.arrow_udf(read, "array<double>")
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(ArrayType(StringType()))
 def distinct_terms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Distinct words of four letters or more and their beginnings."""
     for texts in batches:

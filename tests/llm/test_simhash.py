@@ -1,0 +1,110 @@
+import random
+import re
+
+import numpy as np
+import xxhash
+
+from gleanery.llm import simhash as module
+from gleanery.llm.components import components
+from gleanery.llm.simhash import bit_planes, drop_near_duplicates, links, near_duplicates, within_radius
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def fingerprint(text):
+    own = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    shingles = [" ".join(own[k : k + 3]) for k in range(max(len(own) - 2, 1))] if own else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def classes(prints):
+    root = {p: p for p in prints}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a in prints:
+        for b in prints:
+            if (a ^ b).bit_count() <= 2:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {p: find(p) for p in prints}
+
+
+def signed(p):
+    return p - (1 << 64) if p >> 63 else p
+
+
+def test_fingerprints_and_components(odd_docs, no_docs):
+    rows = [(r["doc_id"], fingerprint(r["text"])) for r in odd_docs.collect()]
+    root = classes({p for _, p in rows})
+    least = {}
+    for i, p in rows:
+        if i is not None:
+            least[root[p]] = min(i, least.get(root[p], i))
+    expected = sorted(((i, signed(p), least.get(root[p])) for i, p in rows), key=str)
+    got = [(r["doc_id"], r["fp"], r["component_id"]) for r in near_duplicates(odd_docs).collect()]
+    assert sorted(got, key=str) == expected
+    assert near_duplicates(no_docs).count() == 0
+
+
+def test_one_document_of_each_component_stays(odd_docs, no_docs):
+    kept = drop_near_duplicates(odd_docs)
+    assert kept.columns == odd_docs.columns
+    found = near_duplicates(odd_docs)
+    assert kept.count() == found.select("root").distinct().count()
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    # Of the empty texts that with the least id stays; of one id two unlike texts stay.
+    assert [i for i, t in rows if not (t or "").strip()] == [3]
+    assert sorted(t[:3] for i, t in rows if i == 1) == ["ano", "one"]
+    assert drop_near_duplicates(no_docs).count() == 0
+
+
+def _linked(spark, prints):
+    frame = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
+    found = {r["node"]: r["root"] for r in components(links(frame)).collect()}
+    return {p: found.get(signed(p), signed(p)) for p in prints}
+
+
+def test_links_of_near_and_crowded_buckets(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = set(base)
+    for p in base[:15]:
+        for _ in range(12):
+            q = p
+            for _ in range(rng.randint(1, 4)):
+                q ^= 1 << rng.randrange(64)
+            prints.add(q)
+    prints |= {base[0] ^ (1 << b) for b in range(64)} | {(1 << 64) - 1, 0, 1, 3, 1 << 63}
+    prints = sorted(prints)
+    root = classes(prints)
+
+    def same(got):
+        return {frozenset(p for p in prints if got[p] == got[q]) for q in prints}
+
+    expected = {frozenset(p for p in prints if root[p] == root[q]) for q in prints}
+    assert same(_linked(spark, prints)) == expected
+    monkeypatch.setattr(module, "CROWDED", 3)
+    monkeypatch.setattr(module, "SMALL", 4)
+    assert same(_linked(spark, prints)) == expected
+
+
+def test_bit_sliced_distances():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    x[:50] = np.uint64(1) << rng.integers(0, 64, 50, dtype=np.uint64)
+    x[50:90] |= x[:40]
+    x[90:100] = 0
+    mask = within_radius(iter(bit_planes(x)))
+    lanes = np.unpackbits(mask.view(np.uint8), bitorder="little")[:200].astype(bool)
+    assert (lanes == (np.bitwise_count(x) <= 2)).all()
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)], "u long, v long")
+    got = {r["node"]: r["root"] for r in components(edges).collect()}
+    assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
