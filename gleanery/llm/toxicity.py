@@ -213,8 +213,7 @@ def fit(sample: DataFrame) -> Toxicity:
     shared = spark.sparkContext.broadcast(lexicons)
     features = toxic_features(shared)(F.col("text"), F.col("fold"))
     rows = sample.select("fold", F.col("label").cast("double").alias("label"), array_to_vector(features).alias("features"))
-    # A sample of at most some thousand rows of 14 numbers: a few partitions of it.
-    rows = written(rows.repartition(4, "fold"), "toxic_features")
+    rows = written(rows, "toxic_features")
     both = {r["fold"]: r["n"] for r in rows.groupBy((F.col("fold") == 4).alias("fold")).agg(F.countDistinct("label").alias("n")).collect()}
     if both.get(False, 0) < 2:
         return Toxicity(lexicons[0], None, None)
