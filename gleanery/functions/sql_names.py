@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from gleanery.functions.collections import CATEGORY_WORDS, DEFAULT_USER_AGENT
-from gleanery.functions.dates import DATE_SHAPES, RFC3339
+from gleanery.functions.dates import DATE_REWRITES, DATE_SHAPES, ISO_START, ZONE_NAME, RFC3339
 from gleanery.functions.registry import NO_CONTENT
 from gleanery.functions.text import ENTITIES, HIDDEN_MARKUP, SPACES, TAG, WHITE_SPACE
 from gleanery.schemas import RESULT_TYPES
@@ -46,12 +46,20 @@ def _strip(c: str) -> str:
 
 
 def _parse_date(c: str) -> str:
-    text = f"regexp_replace({_trim(c)}, {_raw('^[A-Za-z]{3},\\s*')}, '')"
+    text = _trim(c)
+    for found, put in DATE_REWRITES:
+        text = f"regexp_replace({text}, {_raw(found)}, {_text(put)})"
+    zone = f"regexp_extract(x, {_raw(ZONE_NAME)}, 0)"
+    capitals = (
+        f"IF(x RLIKE {_raw(ISO_START)}, upper(x), "
+        f"concat(left(x, length(x) - length({zone})), upper({zone})))"
+    )
     cases = " ".join(
-        f'WHEN {text} RLIKE {_raw(shape)} THEN try_to_timestamp({text}, "{pattern}")'
+        f'WHEN x RLIKE {_raw(shape)} THEN try_to_timestamp(x, "{pattern}")'
         for shape, pattern in DATE_SHAPES
     )
-    return f"CASE {cases} END"
+    # A one-element array names the intermediate text, so it is written once.
+    return f"transform(transform(array({text}), x -> {capitals}), x -> CASE {cases} END)[0]"
 
 
 def _in(values: tuple[str, ...]) -> str:

@@ -101,20 +101,12 @@ def first_non_empty(*columns: Column) -> Column:
 def contains_any(columns: list[Column], words: list[str]) -> Column:
     """True if one of the texts holds one of the words, ignoring case.
 
-    Each text is lower-cased once. Short lists are substring tests, long ones one
-    alternation.
+    Each text is lower-cased once; every word is a substring test.
     """
     lowered = [w.lower() for w in words]
 
     def found(text: Column) -> Column:
-        if len(lowered) > 16:
-            return F.rlike(text, F.lit("|".join(_literal(w) for w in lowered)))
         return reduce(or_, (F.contains(text, F.lit(w)) for w in lowered), F.lit(False))
 
     texts = F.array(*(F.lower(F.coalesce(c, F.lit(""))) for c in columns))
     return F.exists(texts, found)
-
-
-def _literal(word: str) -> str:
-    """A word as a pattern that matches nothing else."""
-    return r"\Q" + word.replace(r"\E", r"\E\\E\Q") + r"\E"

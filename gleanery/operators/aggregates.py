@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.operators.lookup import lookup_join
+from gleanery.session import written
 
 PART_SIZE = 1000
 
@@ -118,22 +119,37 @@ def aggregate_results(
     """
     now = run_ts if isinstance(run_ts, Column) else F.lit(run_ts)
     counts = items.groupBy("source_id").agg(F.count("*").alias("_n"))
-    totals = fetch_totals(fetches).join(counts, "source_id", "full").select(
-        "source_id",
-        F.coalesce("successful_count", F.lit(0)).alias("successful_count"),
-        F.coalesce("failed_count", F.lit(0)).alias("failed_count"),
-        F.coalesce("total_fetch_time_ms", F.lit(0)).alias("total_fetch_time_ms"),
-        F.greatest(F.ceil(F.coalesce("_n", F.lit(0)) / part_size), F.lit(1)).alias("part_count"),
+    totals = fetch_totals(fetches).join(counts, "source_id", "full")
+    totals = written(
+        totals.select(
+            "source_id",
+            F.coalesce("successful_count", F.lit(0)).alias("successful_count"),
+            F.coalesce("failed_count", F.lit(0)).alias("failed_count"),
+            F.coalesce("total_fetch_time_ms", F.lit(0)).alias("total_fetch_time_ms"),
+            F.greatest(F.ceil(F.coalesce("_n", F.lit(0)) / part_size), F.lit(1)).alias("part_count"),
+        ),
+        "totals",
     )
     fields = [c for c in items.columns if c != "source_id"]
     rest = [c for c in fields if c != "id"]
     packed = (
         lookup_join(items, totals.select("source_id", "part_count"), "source_id")
         .withColumn("part", part_number(F.col("id"), F.col("part_count")))
+        # A join on the source alone must not decide where the parts of a large one go.
+        .repartition("source_id", "part")
         .groupBy("source_id", "part")
         .agg(F.array_sort(F.collect_list(F.struct("id", *rest)), _by_id).alias("items"))
     )
-    slots = totals.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("part_count") - 1)))
+    # In two steps, so that no row holds a list of all parts of a source.
+    block = F.explode(F.sequence(F.lit(0), F.floor((F.col("part_count") - 1) / PART_SIZE)))
+    within = F.explode(F.sequence(F.lit(0), F.lit(PART_SIZE - 1)))
+    slots = (
+        totals.withColumn("_block", block)
+        .withColumn("_within", within)
+        .withColumn("part", F.col("_block") * PART_SIZE + F.col("_within"))
+        .filter("part < part_count")
+        .drop("_block", "_within")
+    )
     empty = F.array().cast(packed.schema["items"].dataType)
     return slots.join(packed, ["source_id", "part"], "left").select(
         F.sha2(F.concat_ws("|", "source_id", F.col("part").cast("string")), 256).alias("id"),
@@ -155,17 +171,19 @@ def result_rollup(
     """Contents, statistics and errors per source.
 
     `outcomes` has source_id, key, content and error. One row per (source_id, part);
-    contents and errors of a part are sorted by key, and the statistics of the whole
-    source are repeated on each part.
+    contents and errors of a part are sorted by key, and the statistics and the first
+    content of the whole source are repeated on each part.
     """
+    outcomes = written(outcomes.select("source_id", key, "content", "error"), "outcomes")
     totals = outcomes.groupBy("source_id").agg(
         F.count("*").alias("_n"),
         F.count("content").alias("_contents"),
         F.count("error").alias("_errors"),
+        F.min_by("content", F.when(F.col("content").isNotNull(), F.col(key))).alias("_first"),
     )
-    counted = totals.select(
-        "source_id", F.ceil(F.col("_n") / part_size).alias("part_count"), "_contents", "_errors"
-    )
+    part_count = F.ceil(F.col("_n") / part_size).alias("part_count")
+    counted = totals.select("source_id", part_count, "_contents", "_errors", "_first")
+    counted = written(counted, "counted")
     statistics = F.map_from_arrays(
         F.array(F.lit("contents"), F.lit("errors")), F.array("_contents", "_errors")
     )
@@ -180,16 +198,30 @@ def result_rollup(
     return (
         lookup_join(outcomes, counted, "source_id")
         .withColumn("part", part_number(F.col(key), F.col("part_count")))
-        .groupBy("source_id", "part", "part_count", "_contents", "_errors")
+        .repartition("source_id", "part")
+        .groupBy("source_id", "part", "part_count", "_contents", "_errors", "_first")
         .agg(in_order("content").alias("contents"), in_order("error").alias("errors"))
         .select(
-            "source_id", "part", "part_count", "contents", statistics.alias("statistics"), "errors"
+            "source_id", "part", "part_count", "contents", statistics.alias("statistics"), "errors",
+            F.col("_first").alias("first_content"),
         )
     )
 
 
 def result_summary(results: DataFrame) -> DataFrame:
-    """First content (or empty) and number of errors of each result."""
+    """First content (or empty) and number of errors of each result.
+
+    The parts of a rolled-up source are one result, whatever the size of a part.
+    """
+    if {"source_id", "part", "first_content"} <= set(results.columns):
+        per_source = results.groupBy("source_id").agg(
+            F.first("first_content").alias("content"),
+            F.first(F.col("statistics")["errors"]).alias("n_errors"),
+        )
+        return per_source.select(
+            F.coalesce("content", F.lit("")).alias("Content"),
+            F.col("n_errors").cast("int").alias("Error Count"),
+        )
     return results.select(
         F.coalesce(F.try_element_at("contents", F.lit(1)), F.lit("")).alias("Content"),
         F.coalesce(F.size("errors"), F.lit(0)).alias("Error Count"),

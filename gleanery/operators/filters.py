@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions.text import contains_any
 
-# The shipped keyword lists.
+# The sample keyword lists.
 INCLUDE_WORDS = ("technology", "programming", "golang")
 EXCLUDE_WORDS = ("advertisement", "sponsored")
 
@@ -34,8 +34,8 @@ def filter_date(
 
 def filter_keywords(
     items: DataFrame,
-    include: list[str] | tuple[str, ...] = INCLUDE_WORDS,
-    exclude: list[str] | tuple[str, ...] = EXCLUDE_WORDS,
+    include: list[str] | tuple[str, ...] = (),
+    exclude: list[str] | tuple[str, ...] = (),
     columns: tuple[str, ...] = ("title", "content"),
 ) -> DataFrame:
     """Keep rows that hold an include word (or the list is empty) and no exclude word.

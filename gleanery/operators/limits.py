@@ -44,26 +44,29 @@ def token_bucket_schedule(
     requests: DataFrame,
     key: str = "key",
     ts: str = "ts",
-    tie: str = "id",
+    tie: str | tuple[str, ...] = "id",
     rpm: str = "rpm",
     capacity: Column | int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add `release_ts` and `wait_ms`: when each request gets its token.
 
-    The bucket starts full, refills continuously and serves in (ts, tie) order. With
+    The bucket starts full, refills continuously and serves in (ts, *tie) order. A rate
+    that is null or not positive is the default one. With
     T the time of one token, request k is released at
     max(t_k, max over j<k of (t_j - j*T) + k*T - (capacity-1)*T), a running maximum,
     so no sequential replay is needed.
     """
-    cap = F.col(rpm) if capacity is None else F.lit(capacity) if isinstance(capacity, int) else capacity
+    ties = (tie,) if isinstance(tie, str) else tuple(tie)
+    rate = F.when(F.col(rpm) > 0, F.col(rpm)).otherwise(F.lit(DEFAULT_RPM)).cast("bigint")
+    cap = rate if capacity is None else F.lit(capacity) if isinstance(capacity, int) else capacity
     rows = (
-        slice_hot_keys(requests, key, ts, tie, hot_rows)
+        slice_hot_keys(requests, key, ts, ties, hot_rows)
         .withColumn("_t", F.unix_micros(ts))
-        .withColumn("_token", F.expr(f"60000000L div {rpm}"))
+        .withColumn("_token", F.floor(F.lit(60_000_000) / rate))
         .withColumn("_cap", cap.cast("bigint"))
     )
-    window = slice_window(key, "_t", tie)
+    window = slice_window(key, "_t", *ties)
     rows = rows.withColumn("_k", F.row_number().over(window).cast("bigint"))
     debt = F.col("_t") - F.col("_k") * F.col("_token")
     rows = rows.withColumn("_debt", debt).withColumn(

@@ -97,6 +97,7 @@ def robots_asof(
     timeline = requests.select(
         "host",
         "ts",
+        F.lit(True).alias("_is_request"),
         F.col(tie).cast("bigint").alias("_tie"),
         F.struct(*requests.columns).alias("_request"),
         F.lit(None).cast("struct<fetched_at: timestamp, version: bigint>").alias("_snapshot"),
@@ -105,13 +106,14 @@ def robots_asof(
             "host",
             F.col("fetched_at").alias("ts"),
             # Snapshots come before requests of the same time, newer versions last.
+            F.lit(False).alias("_is_request"),
             F.col("version").cast("bigint").alias("_tie"),
             F.lit(None).cast(requests.select(F.struct(*requests.columns)).schema[0].dataType).alias("_request"),
             F.struct("fetched_at", F.col("version").cast("bigint").alias("version")).alias("_snapshot"),
         )
     )
-    rows = slice_hot_keys(timeline, "host", "ts", "_tie", hot_rows)
-    window = slice_window("host", "ts", F.col("_request").isNotNull(), "_tie")
+    rows = slice_hot_keys(timeline, "host", "ts", ("_is_request", "_tie"), hot_rows)
+    window = slice_window("host", "ts", "_is_request", "_tie")
     rows = rows.withColumn(
         "_seen",
         F.last("_snapshot", ignorenulls=True).over(

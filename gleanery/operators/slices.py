@@ -1,79 +1,45 @@
 """Ordered per-key computations that survive a key holding much of the data.
 
-A window partitioned by key alone puts all rows of a key into one task. Here a key
-with more than `hot_rows` rows is cut into slices that follow its order; windows run
-per (key, slice), one summary row per slice of a hot key is scanned in order, and its
-result is carried back to the rows of the later slices. Other keys have the single
-slice 0 and take the plain one-shuffle path.
+A window partitioned by key alone puts all rows of a key into one task. Here the rows are
+sorted into ranges of (key, time, ties) first; the range is the slice of its rows. A
+key that lies in one range has one slice, and a large key as many as its rows fill,
+however its times and ties are spread. Windows run per (key, slice), one summary row per
+slice is scanned in order, and its result is carried to the rows of the later slices.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import IntegralType
-
-HOT_ROWS = 1_000_000
-# Slices per `hot_rows` rows, to leave room for uneven traffic.
-SPREAD = 8
 
+from gleanery.session import written
 
-def _position(value: Column, low: Column, high: Column, rows: Column, hot_rows: int) -> Column:
-    """Number of the equal-width slice of [low, high] that holds the value."""
-    slices = F.ceil(rows * F.lit(SPREAD) / F.lit(hot_rows))
-    return F.floor((value - low) / F.greatest((high - low + 1) / slices, F.lit(1.0)))
+HOT_ROWS = 1_000_000
+# Ranges per `hot_rows` rows, to leave room for sampled bounds.
+SPREAD = 2
 
 
 def slice_hot_keys(
-    df: DataFrame, key: str, ts: str, tie: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, key: str, ts: str, tie: str | tuple[str, ...], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Add `_hot` and `_slice`, which grows with (ts, tie) inside a key.
+    """Add `_hot` and `_slice`, which grows with (ts, *tie) inside a key.
 
-    A hot key is cut by time. A slice that is still too large is cut once more: by time
-    again, or by the tie (if it is a whole number) when all its times are equal. Rows
-    without a key belong together with no other row.
+    A slice has at most about `hot_rows` rows, unless more rows are equal in key, time and
+    ties. Rows without a key belong together with no other row and are not `_hot`.
 
-    The tables of hot keys and of crowded slices have at most `rows / hot_rows` rows
-    each, so they are broadcast.
+    The sliced rows are written to the shared folder once: the windows and the summary
+    read them there, and their slices stay what they are when a task runs again.
     """
-    micros = F.unix_micros(ts)
-    order = F.col(tie) if isinstance(df.schema[tie].dataType, IntegralType) else F.lit(0)
-    measures = [
-        F.count("*").alias("_rows"), F.min(micros).alias("_from"), F.max(micros).alias("_to")
-    ]
-    hot = (
-        df.groupBy(F.col(key).alias("_key"))
-        .agg(*measures)
-        .filter(F.col("_key").isNotNull() & (F.col("_rows") > hot_rows))
-    )
-    by_time = _position(micros, F.col("_from"), F.col("_to"), F.col("_rows"), hot_rows)
-    cut = (
-        df.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left")
-        .withColumn("_hot", F.col("_key").isNotNull())
-        .withColumn(
-            "_first",
-            F.when(F.col("_hot"), by_time)
-            .when(F.col(key).isNull(), F.xxhash64(ts, tie))
-            .otherwise(F.lit(0)),
-        )
-        .drop("_key", "_rows", "_from", "_to")
-    )
-    crowded = (
-        cut.filter("_hot")
-        .groupBy(F.col(key).alias("_key"), F.col("_first").alias("_cell"))
-        .agg(*measures, F.min(order).alias("_low"), F.max(order).alias("_high"))
-        .filter(F.col("_rows") > hot_rows)
-    )
-    by_tie = _position(order, F.col("_low"), F.col("_high"), F.col("_rows"), hot_rows)
-    second = F.when(F.col("_from") < F.col("_to"), by_time).otherwise(by_tie)
-    cell = (F.col(key) == F.col("_key")) & (F.col("_first") == F.col("_cell"))
-    return (
-        cut.join(F.broadcast(crowded), cell, "left")
-        .withColumn(
+    ties = (tie,) if isinstance(tie, str) else tuple(tie)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, df.count() * SPREAD // hot_rows + 1)
+    dealt = df.repartitionByRange(ranges, key, ts, *ties)
+    alone = F.col(key).isNull()
+    return written(
+        dealt.withColumn("_hot", ~alone).withColumn(
             "_slice",
-            F.when(F.col("_hot"), F.col("_first") * 2**32 + F.coalesce(second, F.lit(0)))
-            .otherwise(F.col("_first")),
-        )
-        .drop("_first", "_key", "_cell", "_rows", "_from", "_to", "_low", "_high")
+            F.when(alone, F.xxhash64(ts, *ties)).otherwise(F.spark_partition_id().cast("bigint")),
+        ),
+        "slices",
     )
 
 
@@ -84,13 +50,12 @@ def slice_window(key: str, *order: str | Column):
 def carry_over(
     sliced: DataFrame, key: str, summary: dict[str, Column], carried: dict[str, Column]
 ) -> DataFrame:
-    """Join to each row of a hot key what the earlier slices of its key left behind.
+    """Join to each row with a key what the earlier slices of its key left behind.
 
     `summary` are aggregates per slice; `carried` are expressions over the summary
     columns, evaluated in `earlier_slices(key)` windows. The rows are already
     partitioned by (key, slice), so only the summary rows move for the join. `_hot` is
-    part of every key, so that its filter passes below the windows and the summary
-    reads no row of another key.
+    part of every key, so that its filter passes below the windows.
     """
     cell = [key, "_slice", "_hot"]
     per_slice = sliced.filter("_hot").groupBy(*cell).agg(

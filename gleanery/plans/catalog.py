@@ -91,7 +91,8 @@ def sources_by_tag(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def filter_sources_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    names = "blog_tionsh_example_com, therwh_example_org,none"
+    ends = views.page_sources(spark, sf).agg(F.min("name"), F.max("name")).first()
+    names = ", ".join([*(n for n in ends if n), "none"])
     return registry.filter_sources_by_name(views.page_sources(spark, sf), names).select("source_id", "name")
 
 

@@ -67,9 +67,8 @@ def write_xml(
     )
 
 
-def html_paragraph(contents: Column) -> Column:
-    first = F.coalesce(F.try_element_at(contents, F.lit(1)), F.lit(""))
-    return F.concat(F.lit("<p>"), escape_html(first), F.lit("</p>"))
+def html_paragraph(content: Column) -> Column:
+    return F.concat(F.lit("<p>"), escape_html(content), F.lit("</p>"))
 
 
 def write_html(results: DataFrame, path: str, mode: str = "error") -> None:
@@ -80,12 +79,10 @@ def write_html(results: DataFrame, path: str, mode: str = "error") -> None:
     or write the whole of it.
     """
     spark = results.sparkSession
-    body = results.select(
+    body = result_summary(results).select(
         F.lit(1).alias("_section"),
-        F.xxhash64(F.to_json(F.struct("source_id", "part"))).alias("_order")
-        if {"source_id", "part"} <= set(results.columns)
-        else F.monotonically_increasing_id().alias("_order"),
-        html_paragraph(F.col("contents")).alias("value"),
+        F.xxhash64("Content", "Error Count").alias("_order"),
+        html_paragraph(F.col("Content")).alias("value"),
     )
     ends = spark.createDataFrame(
         [(0, 0, HTML_HEAD), (2, 0, HTML_TAIL)], "_section int, _order bigint, value string"

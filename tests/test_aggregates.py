@@ -138,7 +138,9 @@ def test_filters(spark):
         [(1, "Golang news", "x", at(0)), (2, None, "a PROGRAMMING tale", at(10)), (3, "golang", "Sponsored", at(20)), (4, "other", None, None)],
         "id int, title string, content string, date timestamp",
     )
-    assert [r.id for r in filters.filter_keywords(rows).collect()] == [1, 2]
+    assert [r.id for r in filters.filter_keywords(rows).collect()] == [1, 2, 3, 4]
+    words = filters.INCLUDE_WORDS, filters.EXCLUDE_WORDS
+    assert [r.id for r in filters.filter_keywords(rows, *words).collect()] == [1, 2]
     assert [r.id for r in filters.filter_keywords(rows, [], ["x"]).collect()] == [2, 3, 4]
     assert [r.id for r in filters.filter_keywords(rows, ["golang"], []).collect()] == [1, 3]
     assert [r.id for r in filters.filter_date(rows, at(10), at(20)).collect()] == [2]

@@ -79,6 +79,19 @@ def test_contains_any(one, extra):
         ("2024-13-40", None),
         ("soon", None),
         ("", None),
+        ("01 Jan 24 10:00:00 GMT", datetime(2024, 1, 1, 10)),
+        ("01 Jan 50 10:00 GMT", datetime(1950, 1, 1, 10)),
+        ("Mon, 01 Jan 2024 10:00 GMT", datetime(2024, 1, 1, 10)),
+        ("Monday, 1 Jan 2024 10:00:00", datetime(2024, 1, 1, 10)),
+        ("Mon, 01 Jan 2024 10:00:00 est", datetime(2024, 1, 1, 15)),
+        ("Mon, 01 Jan 2024 10:00:00 Z", datetime(2024, 1, 1, 10)),
+        ("1 Jan 2024 10:00 +0130", datetime(2024, 1, 1, 8, 30)),
+        ("2024-01-01T10:00:00", datetime(2024, 1, 1, 10)),
+        ("2024-01-01 10:00:00", datetime(2024, 1, 1, 10)),
+        ("2024-01-01 10:00", datetime(2024, 1, 1, 10)),
+        ("2024-01-01T10:00:00.12Z", datetime(2024, 1, 1, 10, 0, 0, 120000)),
+        ("2024-01-01t10:00:00.123456789z", datetime(2024, 1, 1, 10, 0, 0, 123456)),
+        ("2024-01-01T10:00:00+0200", datetime(2024, 1, 1, 8)),
     ],
 )
 def test_parse_date(one, raw, parsed):

@@ -13,8 +13,9 @@ sys.path.insert(0, ROOT)
 
 import __spark_entry__ as entry_point  # noqa: E402
 
-QUERIES = entry_point.queries()
-ORACLE = entry_point.oracle_sql()
+from gleanery.plans.catalog import QUERIES  # noqa: E402
+from gleanery.plans.oracle import ORACLE  # noqa: E402
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -37,6 +38,7 @@ def plain(value):
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLE) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -1,26 +1,45 @@
+import os
 from datetime import date, datetime
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import collections as coll
 from gleanery.functions import dates, text, urls
 from gleanery.functions.sql_names import register_all
-from gleanery.session import scratch_dir, written
+from gleanery.session import remove_folder, scratch_dir, session_folder, written
 
 
 class Conf:
     """A session's settings, which a running session does not let us change."""
 
-    def __init__(self, **values):
+    def __init__(self, master="local[4]", **values):
         self.conf = {k.replace("_", "."): v for k, v in values.items()}
+        self.sparkContext = SimpleNamespace(master=master, applicationId="app-1")
 
 
 def test_scratch_folder_follows_the_checkpoint_setting():
     first, second = (scratch_dir(Conf(spark_checkpoint_dir="hdfs://shared/"), "x") for _ in range(2))
-    assert first.startswith("hdfs://shared/gleanery/x-") and first != second
+    assert first.startswith("hdfs://shared/gleanery/app-1/x-") and first != second
     assert scratch_dir(Conf(), "x").startswith("/")
 
 
+@pytest.mark.parametrize("master", ["yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://h"])
+def test_a_cluster_needs_a_shared_folder(master):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Conf(master), "x")
+    assert scratch_dir(Conf(master, spark_checkpoint_dir="/shared"), "x").startswith("/shared/")
+
+
+def test_scratch_can_be_removed(spark):
+    table = written(spark.range(3), "gone")
+    folder = session_folder(spark).removeprefix("file://")
+    assert table.count() == 3 and os.path.isdir(folder)
+    remove_folder(spark, f"{folder}/gone-none")
+    assert os.path.isdir(folder)
+
+
 def test_written_table_is_the_frame(spark):
     frame = spark.range(10).withColumn("text", F.col("id").cast("string"))
     table = written(frame, "test")
