@@ -17,6 +17,7 @@ from gleanery.functions.registry import Registry
 from gleanery.functions.selectors import all_matches, first_match, matched_fields
 from gleanery.functions.text import drop_hidden_markup
 from gleanery.operators.joins import enrich_with_source
+from gleanery.operators.lookup import lookup_join
 from gleanery.schemas import ITEM, ITEM_FIELDS
 from gleanery.sources.registry import extraction_rules
 
@@ -193,12 +194,17 @@ def json_records(body: Column, mappings: Column) -> Column:
     return F.from_json(F.call_function("get_json_object", body, path), RECORDS)
 
 
-def xml_records(body: Column, mappings: Column, row_elements: tuple[str, ...]) -> Column:
-    """The repeated child elements named by the container (default: the first known)."""
-    schema = ", ".join(f"`{e}` {RECORDS}" for e in row_elements)
-    parsed = F.from_xml(body, schema, XML_OPTIONS)
-    container = F.coalesce(F.try_element_at(mappings, F.lit("container")), F.lit(row_elements[0]))
-    return F.coalesce(*(F.when(container == e, parsed[e]) for e in row_elements))
+# Element name that the records of a source get before they are read: a schema is fixed,
+# while the name of the repeated element is the source's own.
+ROW_ELEMENT = "glean-row"
+
+
+def xml_records(body: Column, mappings: Column, row_element: str = "item") -> Column:
+    """The repeated child elements named by the container (default: `row_element`)."""
+    container = F.coalesce(F.try_element_at(mappings, F.lit("container")), F.lit(row_element))
+    tag = F.concat(F.lit(r"<(/?)\Q"), container, F.lit(r"\E(?=[\s/>])"))
+    named = F.call_function("regexp_replace", body, tag, F.lit(f"<$1{ROW_ELEMENT}"))
+    return F.from_xml(named, f"`{ROW_ELEMENT}` {RECORDS}", XML_OPTIONS)[ROW_ELEMENT]
 
 
 def rss_records(body: Column) -> Column:
@@ -238,8 +244,8 @@ def extract_json(bodies: DataFrame, mappings: dict[str, str], body: str = "body"
 def extract_xml(
     bodies: DataFrame, mappings: dict[str, str], row_element: str = "item", body: str = "body"
 ) -> DataFrame:
-    targets = _mapping_literal({k: v for k, v in mappings.items() if k != "container"})
-    records = xml_records(F.col(body), targets, (row_element,))
+    targets = _mapping_literal(mappings)
+    records = xml_records(F.col(body), targets, row_element)
     return _explode_items(bodies, _items_from_records(records, targets), body)
 
 
@@ -249,21 +255,22 @@ def extract_rss(bodies: DataFrame, mappings: dict[str, str], body: str = "body")
 
 
 def parse_results(
-    jobs: DataFrame, sources: DataFrame, xml_row_elements: tuple[str, ...] = ("item",)
+    jobs: DataFrame, sources: DataFrame, xml_row_element: str = "item"
 ) -> DataFrame:
-    """One row per body: its `items` array, or an `error`.
+    """One row per body: its `items` array, or an `error`. A body whose source is not among
+    `sources` is an error too.
 
     `jobs` has source_id and body; `sources` chooses parser, selectors and mappings.
     A job that already carries an `error` keeps it and is not read.
     """
     rules = extraction_rules(sources).withColumnsRenamed(
         {"parser": "_parser", "patterns": "_patterns", "mappings": "_mappings"}
-    )
+    ).withColumn("_known", F.lit(True))
     parser, body, mappings = F.col("_parser"), F.col("body"), F.col("_mappings")
     readers = {
         "html": html_records(body, F.col("_patterns")),
         "json": json_records(body, mappings),
-        "xml": xml_records(body, mappings, xml_row_elements),
+        "xml": xml_records(body, mappings, xml_row_element),
         "rss": rss_records(body),
     }
     earlier = F.col("error") if "error" in jobs.columns else F.lit(None).cast("string")
@@ -271,15 +278,19 @@ def parse_results(
     for name, read in readers.items():
         records = records.when(parser == name, read)
     known = F.coalesce(parser.isin(*readers), F.lit(False))
+    unknown = F.when(
+        F.col("_known").isNull(),
+        F.concat(F.lit("unknown source: "), F.coalesce(F.col("source_id").cast("string"), F.lit(""))),
+    )
     no_parser = F.when(
         ~known, F.concat(F.lit("no parser available for type: "), F.coalesce(parser, F.lit("")))
     )
     kept = [c for c in jobs.columns if c not in ("body", "error")]
-    read_once = enrich_with_source(jobs, rules).select(
+    read_once = lookup_join(jobs, rules, "source_id", "left").select(
         *kept,
         parser.alias("extracted_by"),
         _items_from_records(records, mappings).alias("items"),
-        F.coalesce(earlier, no_parser).alias("_error"),
+        F.coalesce(earlier, unknown, no_parser).alias("_error"),
     )
     unreadable = F.when(
         F.col("items").isNull(),
@@ -292,7 +303,7 @@ def dispatch_extract(
     jobs: DataFrame,
     sources: DataFrame,
     registry: Registry | None = None,
-    xml_row_elements: tuple[str, ...] = ("item",),
+    xml_row_element: str = "item",
 ) -> DataFrame:
     """Items and error rows of all bodies, each read by its source's parser.
 
@@ -306,7 +317,10 @@ def dispatch_extract(
     common = sources
     if custom:
         common = sources.filter(~F.coalesce(parser.isin(*custom), F.lit(False)))
-    results = parse_results(jobs, common, xml_row_elements)
+        own_types = sources.filter(parser.isin(*custom)).select("source_id")
+        results = parse_results(jobs.join(own_types, "source_id", "left_anti"), common, xml_row_element)
+    else:
+        results = parse_results(jobs, common, xml_row_element)
     kept = [c for c in results.columns if c not in ("items", "error")]
     carried = [c for c in kept if c != "url"]
     one_error = F.array(F.lit(None).cast(f"struct<{ITEM}>"))

@@ -83,7 +83,7 @@ def _source_columns(key: Column, host: Column, url: Column, pos: Column, parser:
             F.lit("page").alias("param_name"),
         ).alias("pagination"),
         F.struct(
-            F.lit(True).alias("enabled"),
+            (n % 5 != 1).alias("enabled"),
             (n % 2 == 0).alias("process_all"),
             F.when(n % 7 != 0, 3 + n % 5).cast("int").alias("max_urls"),
             F.lit(".*/en/.*").alias("pattern"),
@@ -347,7 +347,7 @@ def rss_bodies(spark: SparkSession, sf: str) -> DataFrame:
 def sitemaps(spark: SparkSession, sf: str) -> DataFrame:
     """Sitemap documents of up to 100 consecutive pages of a host."""
     rules = sources(spark, sf).select(
-        "source_id", "sitemap.process_all", "sitemap.pattern", "sitemap.max_urls"
+        "source_id", "sitemap.enabled", "sitemap.process_all", "sitemap.pattern", "sitemap.max_urls"
     )
     entry = F.concat(F.lit("<url><loc>"), _xml_text(F.col("url")), F.lit("</loc></url>"))
     documents = (

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gleanery.functions.urls import url_with_page
+from gleanery.operators.slices import (
+    HOT_ROWS,
+    carry_over,
+    earlier_slices,
+    slice_hot_keys,
+    slice_window,
+)
 
 
 def paginate(sources: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -22,36 +29,38 @@ def paginate(sources: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def sitemap_urls(sitemaps: DataFrame, salts: int = 64) -> DataFrame:
+def sitemap_urls(sitemaps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Page URLs (source_id, url) listed by sitemap documents.
 
-    Input columns: source_id, doc_pos, xml, process_all, pattern, max_urls. Each
-    document is cut to `max_urls` in its own row. The documents of one source are
-    then cut in two steps, first inside `salts` shares and then together, so that
-    the last step sees at most `salts * max_urls` rows of a source.
+    Input columns: source_id, doc_pos, xml, process_all, pattern, max_urls, and
+    `enabled` where sitemaps can be switched off (null is off). The limit of a source is
+    shared out by counts: a document gives what the documents before it left over, so no
+    URL is ranked, and a source with many documents is cut into slices.
     """
+    if "enabled" in sitemaps.columns:
+        sitemaps = sitemaps.filter(F.coalesce("enabled", F.lit(False)))
     listed = F.transform(
         F.from_xml("xml", "url array<struct<loc: string>>")["url"], lambda u: F.trim(u["loc"])
     )
     everything = F.coalesce("process_all", F.lit(False)) | F.col("pattern").isNull()
     wanted = F.filter(listed, lambda u: (u != "") & (everything | F.rlike(u, F.col("pattern"))))
     limit = F.coalesce("max_urls", F.lit(2**31 - 1))
-    rows = sitemaps.withColumn("_limit", limit).select(
+    documents = sitemaps.select(
         "source_id",
         "doc_pos",
-        "_limit",
-        # Documents without a limit need no ranking: each is a group of its own.
-        F.when(F.col("max_urls").isNull(), F.col("doc_pos")).alias("_own"),
-        F.pmod(F.xxhash64("doc_pos"), F.lit(salts)).alias("_share"),
-        F.posexplode(F.slice(wanted, F.lit(1), limit)).alias("_pos", "url"),
+        limit.cast("bigint").alias("_limit"),
+        F.slice(F.coalesce(wanted, F.array()), F.lit(1), F.greatest(limit, F.lit(0))).alias("_urls"),
     )
-    order = ("doc_pos", "_pos")
-    in_share = Window.partitionBy("source_id", "_own", "_share").orderBy(*order)
-    in_source = Window.partitionBy("source_id", "_own").orderBy(*order)
-    return (
-        rows.withColumn("_n", F.row_number().over(in_share))
-        .filter("_n <= _limit")
-        .withColumn("_n", F.row_number().over(in_source))
-        .filter("_n <= _limit")
-        .select("source_id", "url")
+    documents = documents.withColumn("_n", F.size("_urls").cast("bigint"))
+    sliced = slice_hot_keys(documents, "source_id", "doc_pos", ("_urls",), hot_rows)
+    order = slice_window("source_id", "doc_pos", "_urls")
+    before = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    carried = carry_over(
+        sliced.withColumn("_before", F.coalesce(before, F.lit(0))),
+        "source_id",
+        summary={"_total": F.sum("_n")},
+        carried={"_carry": F.sum("_total").over(earlier_slices("source_id"))},
     )
+    left = F.col("_limit") - F.col("_before") - F.coalesce("_carry", F.lit(0))
+    taken = F.slice("_urls", F.lit(1), F.greatest(F.least(left, F.col("_n")), F.lit(0)).cast("int"))
+    return carried.select("source_id", F.explode(taken).alias("url"))

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gleanery.functions.selectors import compiled_patterns
 from gleanery.schemas import PARSERS, SOURCES
@@ -16,8 +16,18 @@ def load_sources(spark: SparkSession, path: str, format: str | None = None) -> D
     """The typed source table from JSON lines, Parquet or YAML files."""
     kind = format or ("yaml" if path.endswith((".yaml", ".yml")) else "parquet" if path.endswith(".parquet") else "json")
     if kind == "yaml":
-        rows = spark.read.text(path, wholetext=True).mapInPandas(_read_yaml, "record string")
-        return rows.select(F.from_json("record", SOURCES).alias("s")).select("s.*")
+        files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+        rows = files.mapInPandas(_read_yaml, "file string, pos bigint, record string")
+        # Positions run on from file to file: one row per file is all that is ordered.
+        counts = rows.groupBy("file").agg(F.count("*").alias("_n"))
+        before = F.coalesce(
+            F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        )
+        placed = rows.join(counts.select("file", before.alias("_before")), "file")
+        entry = placed.select(
+            F.from_json("record", SOURCES).alias("s"), (F.col("pos") + F.col("_before")).alias("pos")
+        )
+        return entry.select(*(F.col("pos") if c == "pos" else F.col(f"s.{c}") for c in entry.schema["s"].dataType.names))
     return spark.read.schema(SOURCES).format(kind).load(path)
 
 
@@ -26,10 +36,10 @@ def _read_yaml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         records = []
-        for text in batch["value"]:
+        for text, file in zip(batch["value"], batch["file"]):
             for pos, entry in enumerate((yaml.safe_load(text) or {}).get("sources") or []):
-                records.append(json.dumps(_source_record(entry, pos), default=str))
-        yield pd.DataFrame({"record": records})
+                records.append((file, pos, json.dumps(_source_record(entry, pos), default=str)))
+        yield pd.DataFrame(records, columns=["file", "pos", "record"])
 
 
 def _source_record(entry: dict, pos: int) -> dict:
@@ -56,19 +66,28 @@ def _source_record(entry: dict, pos: int) -> dict:
 
 
 def validate_sources(sources: DataFrame) -> DataFrame:
-    """One row (pos, source_id, rule) per broken rule."""
+    """One row (pos, source_id, rule) per broken rule.
+
+    Of the rows with one id that at the first position is not a duplicate; rows without a
+    position, or several at the first one, cannot be told apart and are all reported.
+    """
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     # One pre-aggregated row per id, so a very frequent id costs no more than others.
-    first_pos = sources.groupBy("source_id").agg(
-        F.min("pos").alias("_first"), F.count("*").alias("_n")
+    per_pos = sources.groupBy("source_id", "pos").agg(F.count("*").alias("_n"))
+    first_pos = per_pos.groupBy("source_id").agg(
+        F.min("pos").alias("_first"), F.min_by("_n", "pos").alias("_ties"), F.sum("_n").alias("_n")
     )
-    repeated = first_pos.filter("_n > 1").select("source_id", "_first")
+    repeated = first_pos.filter("_n > 1").select("source_id", "_first", "_ties")
     parser = F.coalesce(F.nullif("parser", F.lit("")), "type")
     size = lambda c: F.coalesce(F.size(F.map_keys(c)), F.lit(0))
     rules = F.array_compact(
         F.array(
             F.when(blank("source_id"), "empty id"),
-            F.when(F.col("pos") > F.col("_first"), "duplicate id"),
+            F.when(
+                F.col("_repeated")
+                & (F.col("pos").isNull() | (F.col("pos") > F.col("_first")) | (F.col("_ties") > 1)),
+                "duplicate id",
+            ),
             F.when(blank("url"), "empty url"),
             F.when(blank("name"), "empty name"),
             F.when(~F.coalesce(F.col("type").isin(*PARSERS), F.lit(False)), "invalid type"),
@@ -81,6 +100,7 @@ def validate_sources(sources: DataFrame) -> DataFrame:
             F.when((parser != "") & ~parser.isin(*PARSERS), "unsupported parser"),
         )
     )
+    repeated = repeated.withColumn("_repeated", F.lit(True))
     return sources.join(repeated, "source_id", "left").select(
         "pos", "source_id", F.explode(rules).alias("rule")
     )

@@ -148,3 +148,22 @@ def test_normalize_by_type(spark):
     known.register_normalizer("text", F.reverse)
     again = [r.content for r in normalize.normalize_by_type(rows, known).collect()]
     assert again == [" a ", None, None, " A ", None]
+
+
+def test_records_by_the_containers_of_their_sources(spark):
+    jobs = spark.createDataFrame(
+        [
+            (1, "p", "<all><product id='1'><t>A</t></product><product><t>B</t></product></all>"),
+            (2, "i", "<all><item><t>C</t></item></all>"),
+            (3, "none", "<all/>"),
+        ],
+        "page_id long, source_id string, body string",
+    )
+    sources = spark.createDataFrame(
+        [("p", {"title": "t", "container": "product"}), ("i", {"title": "t"})],
+        "source_id string, mappings map<string,string>",
+    ).selectExpr("source_id", "'xml' AS type", "'xml' AS parser", "CAST(NULL AS map<string,string>) AS selectors", "mappings")
+    rows = [(r.page_id, r.title, r.error) for r in extract.dispatch_extract(jobs, sources).collect()]
+    assert sorted(rows, key=str) == [
+        (1, "A", None), (1, "B", None), (2, "C", None), (3, None, "unknown source: none"),
+    ]

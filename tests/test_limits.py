@@ -135,3 +135,20 @@ def test_rate_audit(spark):
     lim = spark.createDataFrame([("a", 59)], "host string, rpm int")
     found = [tuple(r) for r in limits.rate_audit(frame, lim, default=30).collect()]
     assert found == [("a", at(0), 60, 59)]
+
+
+def test_rates_that_are_null_or_zero_take_the_default(spark):
+    rows = [(i, "h", at(0), r) for i, r in enumerate([0, None, -1] * 20)]
+    frame = spark.createDataFrame(rows, "id bigint, host string, ts timestamp, rpm int")
+    waits = sorted(r.wait_ms for r in limits.token_bucket_schedule(frame, key="host").collect())
+    assert waits == [0] * 30 + [2000 * k for k in range(1, 31)]
+
+
+def test_order_of_several_columns(spark):
+    rows = [(1, 2**33, 0), (0, 0, 70_000), (0, 1, 0), (1, 5, 0)]
+    frame = spark.createDataFrame(rows, "priority bigint, pos bigint, page bigint").selectExpr(
+        "*", "-priority AS turn", "'h' AS host", "timestamp'2024-01-01' AS ts", "1 AS rpm"
+    )
+    planned = limits.token_bucket_schedule(frame, key="host", tie=("turn", "pos", "page"))
+    found = [(r.priority, r.pos, r.page) for r in planned.orderBy("release_ts").collect()]
+    assert found == [(1, 5, 0), (1, 2**33, 0), (0, 0, 70_000), (0, 1, 0)]

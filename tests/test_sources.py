@@ -1,4 +1,6 @@
 
+from pyspark.sql import functions as F
+
 from gleanery.schemas import SOURCES
 from gleanery.sources import frontier, registry
 
@@ -113,9 +115,24 @@ def test_sitemap_limit_over_documents(spark):
         ],
         "source_id string, doc_pos bigint, xml string, process_all boolean, pattern string, max_urls int",
     )
-    for salts in (1, 8):
-        found = sorted((r.source_id, r.url) for r in frontier.sitemap_urls(rows, salts).collect())
+    for hot_rows in (1, 10**6):
+        found = sorted((r.source_id, r.url) for r in frontier.sitemap_urls(rows, hot_rows).collect())
         assert found == [("a", "x/1"), ("a", "x/3"), ("a", "x/4"), ("b", "q"), ("b", "r")]
+    switched = rows.withColumn("enabled", F.when(F.col("source_id") == "b", True))
+    assert sorted(r.url for r in frontier.sitemap_urls(switched).collect()) == ["q", "r"]
+
+
+def test_positions_run_over_files(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.yaml").write_text(
+            "sources:\n- {id: x, name: n, url: u, type: rss}\n- {id: %s, name: n, url: u, type: rss}\n" % name
+        )
+    sources = registry.load_sources(spark, str(tmp_path), "yaml")
+    assert sorted((r.pos, r.source_id) for r in sources.collect()) == [(0, "x"), (1, "a"), (2, "x"), (3, "b")]
+    found = [tuple(r) for r in registry.validate_sources(sources).collect() if r.rule == "duplicate id"]
+    assert found == [(2, "x", "duplicate id")]
+    unplaced = sources.withColumn("pos", F.lit(None).cast("bigint"))
+    assert [r.rule for r in registry.validate_sources(unplaced).collect()].count("duplicate id") == 2
 
 
 def test_dumps(spark, tmp_path):
