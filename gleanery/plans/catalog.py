@@ -17,7 +17,7 @@ from gleanery.functions.selectors import first_match
 from gleanery.functions.sql_names import register_all
 from gleanery.operators import aggregates, extract, fetches, filters, joins, limits, normalize, robots
 from gleanery.plans import flow, views
-from gleanery.session import configure, scratch_dir
+from gleanery.session import STREAM_SETTINGS, configure, scratch_dir
 from gleanery.sinks import writers
 from gleanery.sources import frontier, registry
 from gleanery.streaming import bucket, streams
@@ -684,6 +684,8 @@ def stream_rate_audit(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_token_bucket(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_dir(spark, "stream_token_bucket")
+    for setting, value in STREAM_SETTINGS.items():
+        spark.conf.set(setting, value)
     requests = views.requests_of(_event_stream(spark, sf))
     decided = bucket.stream_token_bucket(requests, key="host")
     streams.run_to_end(streams.stream_sink(decided, f"{base}/out", f"{base}/checkpoint"))

@@ -23,8 +23,16 @@ RUNTIME_SETTINGS = {
 BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
+# Keyed state of streams outlives a restart and need not fit in memory.
+STREAM_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+}
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    for key, value in RUNTIME_SETTINGS.items():
+    for key, value in (RUNTIME_SETTINGS | STREAM_SETTINGS).items():
         spark.conf.set(key, value)
     return spark
 

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "level bigint, last bigint"
 
 
@@ -62,11 +61,9 @@ def stream_token_bucket(requests: DataFrame, key: str = "key") -> DataFrame:
     """Add `allowed` to each request (key, ts, id, rpm), in event order per micro-batch.
 
     The decision depends on every earlier decision of the key, so one key is one
-    sequence. Only four numbers per request are sent, and the rows of a key in one
+    sequence. The session needs `gleanery.session.STREAM_SETTINGS`. Only four numbers per request are sent, and the rows of a key in one
     micro-batch are bounded by the stream's `maxFilesPerTrigger`.
     """
-    spark = requests.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     key_type = requests.schema[key].dataType.simpleString()
     id_type = requests.schema["id"].dataType.simpleString()
     narrow = requests.select(key, "id", F.unix_micros("ts").alias("micros"), "rpm")
