@@ -42,32 +42,63 @@ _OPEN, _SHUT = "\u0001", "\u0002"
 SPAN = "struct<start:int,end:int,value:string,before:string>"
 
 
-def _marked(text: Column, pattern: str) -> Column:
-    """Spans of all matches with the text before each, by one pass of the expression.
+def _gap(piece: Column) -> Column:
+    """What follows the match at the head of a piece."""
+    return F.substr(piece, F.instr(piece, _SHUT) + 1, F.length(piece))
+
+
+def _named(value: Column, use) -> Column:
+    """use(value), with the value computed once: the element of a one-element array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _marked(text: Column, pattern: str, keep) -> Column:
+    """Spans of the matches that `keep` says, with the text before each, by one pass.
 
     Matches are set between two control characters (which the text has not, see
-    `_clean`), and the pieces between them are counted through.
+    `_clean`), and the pieces between them are counted through. This is done in about
+    sqrt(n) runs of sqrt(n) pieces, because a list that grows is copied at every step.
     """
-    pieces = F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_SHUT}"), _OPEN, -1)
-    start = F.struct(
-        F.lit(0).alias("at"), F.lit("").alias("gap"), F.array().cast(f"array<{SPAN}>").alias("spans")
-    )
 
     def count(done: Column, piece: Column) -> Column:
         cut = F.instr(piece, _SHUT)
         value = F.left(piece, cut - 1)
-        gap = F.when(cut > 0, F.substr(piece, cut + 1, F.length(piece))).otherwise(piece)
         end = done["at"] + F.greatest(cut - 1, F.lit(0))
         span = F.struct(
             done["at"].alias("start"), end.alias("end"), value.alias("value"), done["gap"].alias("before")
         )
+        gap = _gap(piece)
         return F.struct(
             (end + F.length(gap)).alias("at"),
             F.right(gap, F.lit(CONTEXT)).alias("gap"),
-            F.when(cut > 0, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"),
+            F.when((cut > 0) & keep(value), F.concat(done["spans"], F.array(span)))
+            .otherwise(done["spans"])
+            .alias("spans"),
         )
 
-    return F.aggregate(pieces, start, count, lambda done: done["spans"])
+    def spans(pieces: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(pieces))), F.lit(64)).cast("int")
+        runs = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / width).cast("int"))
+
+        def run(c: Column) -> Column:
+            return F.slice(pieces, c * width + 1, width)
+
+        def size(total: Column, piece: Column) -> Column:
+            return total + F.length(piece) - (F.instr(piece, _SHUT) > 0).cast("int")
+
+        def found(sizes: Column) -> Column:
+            def one(c: Column) -> Column:
+                at = F.aggregate(F.slice(sizes, F.lit(1), c), F.lit(0), lambda total, n: total + n)
+                gap = F.when(c > 0, F.right(_gap(F.get(pieces, c * width - 1)), F.lit(CONTEXT))).otherwise("")
+                none = F.array().cast(f"array<{SPAN}>")
+                start = F.struct(at.alias("at"), gap.alias("gap"), none.alias("spans"))
+                return F.aggregate(run(c), start, count, lambda done: done["spans"])
+
+            return F.flatten(F.transform(runs, one))
+
+        return _named(F.transform(runs, lambda c: F.aggregate(run(c), F.lit(0), size)), found)
+
+    return _named(F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_SHUT}"), _OPEN, -1), spans)
 
 
 def _clean(text: Column) -> Column:
@@ -104,7 +135,7 @@ def _valid(kind: str, value: Column) -> Column:
 def base_spans(text: Column, kind: str) -> Column:
     """Valid matches of a kind, leftmost and not overlapping, in order."""
     none = F.array().cast(f"array<{SPAN}>")
-    found = F.filter(_marked(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
+    found = _marked(text, PATTERNS[kind], lambda value: _valid(kind, value))
     needed = F.contains(text, F.lit(NEEDED[kind])) if kind in NEEDED else F.lit(True)
     return F.when(needed & text.rlike("[0-9@]"), found).otherwise(none)
 
@@ -114,12 +145,13 @@ def _candidates(text: Column, base: Column) -> Column:
     that no base span touches."""
     none = F.array().cast(f"array<{SPAN}>")
 
+    def like(value: Column) -> Column:
+        return (F.length(value) >= 5) & (F.contains(value, F.lit("@")) | (F.length(_digits(value)) >= 4))
+
     def new(token: Column) -> Column:
-        value = token["value"]
-        like = (F.length(value) >= 5) & (F.contains(value, F.lit("@")) | (F.length(_digits(value)) >= 4))
-        return like & ~F.exists(base, lambda s: (s["start"] < token["end"]) & (token["start"] < s["end"]))
+        return ~F.exists(base, lambda s: (s["start"] < token["end"]) & (token["start"] < s["end"]))
 
-    return F.when(text.rlike("[0-9@]"), F.filter(_marked(text, TOKEN), new)).otherwise(none)
+    return F.when(text.rlike("[0-9@]"), F.filter(_marked(text, TOKEN, like), new)).otherwise(none)
 
 
 def _pattern(before: Column) -> Column:
