@@ -28,7 +28,7 @@ from gleanery.session import written
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
-SHARD_ROWS = 20_000
+SHARD_ROWS = 2000
 # Documents of the last shard that are left out of its flight, for the landing.
 RESERVE = 300
 SEED = 6
