@@ -31,7 +31,7 @@ PATTERNS = {
 NEEDED = {"email": "@", "ip": ".", "phone": "+"}
 # Identifier-like tokens: no white space or enclosing signs, a digit or an @.
 _TOKEN = r"[^\s,;:()<>\[\]{}\"'|]"
-TOKEN = rf"(?<!{_TOKEN})(?:(?![0-9@]){_TOKEN})*+[0-9@]{_TOKEN}*+(?<![.!?])"
+TOKEN = rf"(?<!{_TOKEN})(?:(?![0-9@]){_TOKEN})*+[0-9@]{_TOKEN}*+"
 # Characters before an identifier in which its pattern's words are looked for.
 CONTEXT = 64
 ROUNDS = 3
@@ -142,16 +142,23 @@ def base_spans(text: Column, kind: str) -> Column:
 
 def _candidates(text: Column, base: Column) -> Column:
     """Identifier-like tokens of five characters or more, with an @ or four digits or more,
-    that no base span touches."""
+    that no base span touches. The stops that end a sentence are not part of them."""
     none = F.array().cast(f"array<{SPAN}>")
 
     def like(value: Column) -> Column:
         return (F.length(value) >= 5) & (F.contains(value, F.lit("@")) | (F.length(_digits(value)) >= 4))
 
+    def trimmed(token: Column) -> Column:
+        value = F.rtrim(token["value"], F.lit(".!?"))
+        end = token["start"] + F.length(value)
+        return F.struct(token["start"].alias("start"), end.alias("end"), value.alias("value"), token["before"].alias("before"))
+
     def new(token: Column) -> Column:
-        return ~F.exists(base, lambda s: (s["start"] < token["end"]) & (token["start"] < s["end"]))
+        touched = F.exists(base, lambda s: (s["start"] < token["end"]) & (token["start"] < s["end"]))
+        return like(token["value"]) & ~touched
 
-    return F.when(text.rlike("[0-9@]"), F.filter(_marked(text, TOKEN, like), new)).otherwise(none)
+    tokens = F.transform(_marked(text, TOKEN, like), trimmed)
+    return F.when(text.rlike("[0-9@]"), F.filter(tokens, new)).otherwise(none)
 
 
 def _pattern(before: Column) -> Column:

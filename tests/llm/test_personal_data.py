@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from gleanery.llm.personal_data import KINDS, _clean, base_spans, find_personal_data
+from gleanery.llm.personal_data import KINDS, _candidates, _clean, base_spans, find_personal_data
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -68,6 +68,26 @@ def test_contexts_of_seeds_find_further_identifiers(spark):
         assert len(found[i]["base"]) == (i < 100)
 
 
+def candidates(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = rows.select("doc_id", _clean(F.col("text")).alias("text"))
+    base = F.flatten(F.array(*(base_spans(F.col("text"), k) for k in KINDS)))
+    found = rows.select("doc_id", "text", _candidates(F.col("text"), base).alias("c")).orderBy("doc_id").collect()
+    for r in found:
+        assert all(r["text"][s["start"] : s["end"]] == s["value"] for s in r["c"])
+    return [[(s["value"], s["before"]) for s in r["c"]] for r in found]
+
+
+def test_candidates_before_the_end_of_a_sentence(spark):
+    texts = ["call 5551234567. Then", "call 5551234567!", "call 5551234567 now", "mail bob@host. Then", "is it AB-1234?! No", "in 2024. So", "é id x.1234..."]
+    values = [[v for v, _ in found] for found in candidates(spark, texts)]
+    assert values == [["5551234567"], ["5551234567"], ["5551234567"], ["bob@host"], ["AB-1234"], [], ["x.1234"]]
+    rows = [(i, f"please mail address: user{i}@example.com thanks") for i in range(20)]
+    rows += [(20, "please mail address: user_at_home1789. Thanks")]
+    found = {r["doc_id"]: r for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in found[20]["added"]] == [(0, 21, 37)]
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert find_personal_data(odd_docs).count() == odd_docs.count()
     assert find_personal_data(no_docs).count() == 0
