@@ -1,7 +1,8 @@
 """Leaf blocks of a page: text between block-level tags, with the path of open elements.
 
 Unclosed paragraphs, list items and cells end where the next one begins. Scripts, styles,
-templates and comments have no text. Inline tags do not end a block, `br` is white space.
+templates and comments have no text; `<svg/>` is empty. Inline tags do not end a block,
+`br` is white space; a custom element (with a hyphen) ends a block but not its paragraph.
 Each expression reads on without going back, so a page costs linear time.
 """
 
@@ -29,7 +30,8 @@ ENDS = {
 }
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<svg(?=[\s/])(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<rest>(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
@@ -106,7 +108,7 @@ def leaves(html: str) -> list[Leaf]:
                 continue
             if tag in ENDS:
                 close(*ENDS[tag])
-            if stack and stack[-1][0] == "p":
+            if stack and stack[-1][0] == "p" and "-" not in tag:
                 stack.pop()
             stack.append((tag, names_of(match["rest"])))
     take(html[at:])

@@ -91,6 +91,20 @@ def test_leaves_of_broken_markup():
     assert of("<" * 20_000 + "<p " * 5_000 + "<!--" * 5_000)
 
 
+def test_text_after_icons_is_kept():
+    def of(html):
+        return [(x.path, x.text) for x in leaves(html)]
+
+    three = (("p",), "three")
+    assert of("<p>one <svg-icon name='x'></svg-icon> two</p><p>three</p>") == [(("p",), "one"), (("p",), "two"), three]
+    assert of("<p>one <svg class='i'/> two</p><p>three</p>") == [(("p",), "one two"), three]
+    assert of("<p>one <svg/>two <svg a='>' />x<svg><path/>y</svg></p><p>three</p>") == [(("p",), "one two x"), three]
+    assert of("<p>one</p><template-card>two</template-card><template>no</template><p>three</p><script-x>") == [
+        (("p",), "one"), (("template-card",), "two"), three
+    ]
+    assert of("<svg " * 20_000 + "<svg a='" * 20_000)
+
+
 def test_top_k_with_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(8)
     vectors = {k: rng.standard_normal(6).round(1).tolist() for k in range(400)}
