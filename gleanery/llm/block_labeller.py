@@ -5,8 +5,9 @@ element and class names), its words (hashed) and a few measures. A bidirectional
 numpy reads the whole sequence both ways, so every block is classified by what stands
 before and after it on the page, and a logistic layer says whether it is main text.
 
-The network learns at every call, from a bounded sample of the pages themselves. Their
-blocks are labelled by the page's own structure where it is plain (inside or outside of
+The network learns at every call, from a bounded sample of the pages themselves, taken
+whatever their length. They are parsed and measured in the tasks; the driver gets numbers
+and paths of blocks, no texts. Their blocks are labelled by the page's own structure where it is plain (inside or outside of
 `article` and its like); copies of these sequences in which containers have other names
 and further kinds of side blocks (comments, forms, notices, sidebars) are put in teach it
 to read pages that are built otherwise.
@@ -15,20 +16,25 @@ to read pages that are built otherwise.
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType
 
 from gleanery.llm.common import table
 from gleanery.llm.markup_blocks import Leaf, leaves
 from gleanery.session import written
 
-# Pages to learn from: those of the least digest of the id, up to so many characters.
+# Pages to learn from: those of the least digest of the id. Longer ones than PAGE_BLOCKS
+# give so many runs of neighbouring blocks, spread from the first block to the last.
 SAMPLE_PAGES = 128
-SAMPLE_CHARS = 50_000
+PAGE_BLOCKS = 1024
+PAGE_RUNS = 4
 COPIES = 3
 HIDDEN = 16
 EPOCHS = 20
@@ -59,6 +65,25 @@ _SIDE_NAMES -= {"div", "section", "ul", "ol", ".list"}
 _TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre", "dd", "dt", "figcaption"}
 
 
+@dataclass
+class Block:
+    """What the network learns of a block: its path, and its words and measures as numbers."""
+
+    path: tuple[str, ...]
+    words: np.ndarray
+    linked: float
+
+
+@dataclass
+class Run:
+    """Neighbouring blocks of a page with their labels, and the share of the page they cover."""
+
+    blocks: list[Block]
+    labels: list[int]
+    start: float = 0.0
+    end: float = 1.0
+
+
 def structure_labels(page: list[Leaf]) -> list[int]:
     """1 for blocks inside a container of main text (on pages without any: text elements)
     and outside of side blocks."""
@@ -92,30 +117,35 @@ class Vectors:
             self.paths[path] = known
         return known
 
-    def of(self, page: list[Leaf]) -> np.ndarray:
+    def words_of(self, text: str, out: np.ndarray) -> None:
+        """Set the words of a text and its own measures."""
+        words = text.lower().split()
+        bins = []
+        for word in words:
+            place = self.words.get(word)
+            if place is None:
+                if len(self.words) > 200_000:
+                    self.words.clear()
+                place = self.words[word] = _bin(word, WORD_BINS)
+            bins.append(place)
+        counts = np.bincount(bins, minlength=WORD_BINS)
+        out[:WORD_BINS] = counts / math.sqrt(float((counts * counts).sum()) or 1.0)
+        out[WORD_BINS] = math.log1p(len(words)) / 5
+        out[WORD_BINS + 2] = min(1.0, sum(map(text.count, ".,;!?")) / len(words))
+        out[WORD_BINS + 3] = float(text[-1] in ".!?")
+
+    def of(self, page: list[Leaf] | list[Block], start: float = 0.0, end: float = 1.0) -> np.ndarray:
         out = np.zeros((len(page), WIDTH), np.float32)
-        if len(self.words) > 200_000:
-            self.words.clear()
-        for k, leaf in enumerate(page):
-            out[k, : PATH_BINS + TAG_BINS] = self._path(leaf.path)
-            text, words = leaf.text, leaf.text.lower().split()
-            bins = []
-            for word in words:
-                place = self.words.get(word)
-                if place is None:
-                    place = self.words[word] = _bin(word, WORD_BINS)
-                bins.append(place)
-            counts = np.bincount(bins, minlength=WORD_BINS)
-            at = PATH_BINS + TAG_BINS
-            out[k, at : at + WORD_BINS] = counts / math.sqrt(float((counts * counts).sum()) or 1.0)
-            out[k, at + WORD_BINS :] = (
-                math.log1p(len(words)) / 5,
-                leaf.linked,
-                min(1.0, sum(map(text.count, ".,;!?")) / len(words)),
-                float(text[-1] in ".!?"),
-                k / len(page),
-                float(len(leaf.path)) / 10,
-            )
+        for k, block in enumerate(page):
+            out[k, : PATH_BINS + TAG_BINS] = self._path(block.path)
+            own = out[k, PATH_BINS + TAG_BINS :]
+            if isinstance(block, Block):
+                own[:] = block.words
+            else:
+                self.words_of(block.text, own)
+            own[WORD_BINS + 1] = block.linked
+            own[WORD_BINS + 4] = start + (end - start) * k / len(page)
+            own[WORD_BINS + 5] = float(len(block.path)) / 10
         return out
 
 
@@ -243,7 +273,7 @@ def _renamed(path: tuple[str, ...], names: dict[str, tuple[str, ...]]) -> tuple[
     return tuple(out)
 
 
-def varied(page: list[Leaf], labels: list[int], texts: list[str], rng) -> tuple[list[Leaf], list[int]]:
+def varied(page: list[Block], labels: list[int], texts: list[np.ndarray], rng) -> tuple[list[Block], list[int]]:
     """A copy of a page with other container names and further side blocks."""
 
     def draw(options):
@@ -251,14 +281,14 @@ def varied(page: list[Leaf], labels: list[int], texts: list[str], rng) -> tuple[
 
     names = {"article": draw(MAIN), "main": draw(MAIN), "nav": draw(SIDE["nav"]), "footer": draw(SIDE["footer"])}
     names |= {".ad": draw(SIDE["ad"]), "aside": draw(SIDE["aside"]), "header": draw(SIDE["header"])}
-    blocks = [(Leaf(_renamed(leaf.path, names), leaf.text, leaf.linked), y) for leaf, y in zip(page, labels)]
+    blocks = [(Block(_renamed(b.path, names), b.words, b.linked), y) for b, y in zip(page, labels)]
     for kind in SIDE:
         if rng.random() < 0.35:
             head = ("html", "body", *draw(SIDE[kind]))
             many = int(rng.integers(1, 5))
             inner = [draw([("p",), ("li",), ("div",), ()]) for _ in range(many)]
             linked = float(kind in ("nav", "aside") and rng.random() < 0.7)
-            new = [(Leaf((*head, *own), draw(texts), linked), 0) for own in inner]
+            new = [(Block((*head, *own), draw(texts), linked), 0) for own in inner]
             main = [k for k, (_, y) in enumerate(blocks) if y]
             # Comments and the like stand after the main text, headers before it, adverts anywhere.
             spots = {"header": 0, "nav": 0, "notice": draw([0, len(blocks)])}
@@ -266,27 +296,67 @@ def varied(page: list[Leaf], labels: list[int], texts: list[str], rng) -> tuple[
             if kind == "comments" and main:
                 at = main[-1] + 1
             blocks[at:at] = new
-    return [leaf for leaf, _ in blocks], [y for _, y in blocks]
-
-
-def learn(pages: list[str]) -> Labeller:
-    """Fit on the given pages and COPIES varied copies of each."""
+    return [b for b, _ in blocks], [y for _, y in blocks]
+
+
+def runs_of(html: str, vectors: Vectors) -> list[Run]:
+    """The blocks of a page with the labels that its structure gives them: one run of all
+    blocks, or PAGE_RUNS of PAGE_BLOCKS together."""
+    page = leaves(html)
+    n, labels, runs = len(page), structure_labels(page), []
+    many, size = (PAGE_RUNS, PAGE_BLOCKS // PAGE_RUNS) if n > PAGE_BLOCKS else (min(n, 1), n)
+    paths: dict[tuple[str, ...], tuple[str, ...]] = {}
+    for k in range(many):
+        first = (n - size) * k // max(many - 1, 1)
+        blocks = []
+        for leaf in page[first : first + size]:
+            words = np.zeros(WORD_BINS + MEASURES, np.float32)
+            vectors.words_of(leaf.text, words)
+            blocks.append(Block(paths.setdefault(leaf.path, leaf.path), words, leaf.linked))
+        runs.append(Run(blocks, labels[first : first + size], first / n, (first + size) / n))
+    return runs
+
+
+def _sent(runs: list[Run]) -> bytes:
+    """Runs in plain types, for workers may have the classes under another identity."""
+    return pickle.dumps(
+        [([(b.path, b.words.tobytes(), b.linked) for b in r.blocks], r.labels, r.start, r.end) for r in runs]
+    )
+
+
+def _received(data: bytes) -> list[Run]:
+    return [
+        Run([Block(path, np.frombuffer(words, np.float32), linked) for path, words, linked in blocks], *rest)
+        for blocks, *rest in pickle.loads(data)
+    ]
+
+
+@F.arrow_udf(BinaryType())
+def sampled_runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    vectors = Vectors()
+    for pages in batches:
+        yield pa.array([_sent(runs_of(p.as_py() or "", vectors)) for p in pages], pa.binary())
+
+
+def learn(runs: list[Run]) -> Labeller | None:
+    """Fit on the given runs and COPIES varied copies of each; none without any block."""
     rng = np.random.default_rng(SEED)
-    parsed = [page for page in map(leaves, pages) if page]
-    texts = [leaf.text for page in parsed for leaf in page]
+    texts = [block.words for run in runs for block in run.blocks]
     vectors, xs, ys = Vectors(), [], []
-    for page in parsed:
-        labels = structure_labels(page)
+    for run in runs:
         for copy in range(COPIES + 1):
-            own, y = varied(page, labels, texts, rng) if copy else (page, labels)
-            xs.append(vectors.of(own))
+            own, y = varied(run.blocks, run.labels, texts, rng) if copy else (run.blocks, run.labels)
+            xs.append(vectors.of(own, run.start, run.end))
             ys.append(y)
-    return Labeller().fit(xs, ys) if xs else Labeller()
+    return Labeller().fit(xs, ys) if xs else None
 
 
-def main_texts(htmls: list[str], labeller: Labeller, vectors: Vectors) -> list[str]:
-    """Main text of each page; pages of like length go through the network together."""
+def main_texts(htmls: list[str], labeller: Labeller | None, vectors: Vectors) -> list[str]:
+    """Main text of each page; pages of like length go through the network together.
+    Without a labeller the structure of each page decides."""
     parsed = [leaves(h) for h in htmls]
+    if labeller is None:
+        return ["\n".join(leaf.text for leaf, y in zip(p, structure_labels(p)) if y) for p in parsed]
     out = [""] * len(htmls)
     order = sorted((k for k in range(len(parsed)) if parsed[k]), key=lambda k: len(parsed[k]))
     at = 0
@@ -320,15 +390,19 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars (code points).
 
     Null and empty pages, and pages without main text, give the empty text. Ids may be null
-    or repeat; each row is answered. An empty table gives no rows.
+    or repeat; each row is answered. Pages of any length are learned from; if none of the
+    sample has a block, the structure of each page decides. An empty table gives no rows.
     """
     spark = pages.sparkSession
-    sized = pages.where(F.length("html").between(1, SAMPLE_CHARS)).select("page_id", F.xxhash64("html").alias("digest"))
-    chosen = sized.distinct().orderBy(F.xxhash64("page_id"), "page_id", "digest").limit(SAMPLE_PAGES)
+    named = pages.where(F.length("html") > 0).select("page_id", "html", F.xxhash64("html").alias("digest"))
+    chosen = named.select("page_id", "digest").distinct()
+    chosen = chosen.orderBy(F.xxhash64("page_id"), "page_id", "digest").limit(SAMPLE_PAGES)
     chosen = F.broadcast(written(chosen, "sample"))  # at most SAMPLE_PAGES pairs of numbers
-    named = pages.where(F.length("html").between(1, SAMPLE_CHARS)).select("page_id", "html", F.xxhash64("html").alias("digest"))
-    sample = named.join(chosen, ["page_id", "digest"], "left_semi").distinct().orderBy("page_id", "html").limit(SAMPLE_PAGES)
-    labeller = learn([r["html"] for r in sample.collect()])
+    same = named["page_id"].eqNullSafe(chosen["page_id"]) & (named["digest"] == chosen["digest"])
+    sample = named.join(chosen, same, "left_semi").dropDuplicates(["page_id", "digest"])
+    sample = sample.select("page_id", "digest", sampled_runs("html").alias("runs"))
+    found = sorted(sample.collect(), key=lambda r: (r["page_id"] is not None, r["page_id"], r["digest"]))
+    labeller = learn([run for r in found for run in _received(r["runs"])])
     text = _extractor(spark.sparkContext.broadcast(labeller))("html")
     return pages.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from gleanery.llm.archives import archived_pages, parse_arc, read_arc, read_warc, warc_date, write_warc, as_arc, convert
-from gleanery.llm.block_labeller import extract_main_text
+from gleanery.llm.block_labeller import PAGE_BLOCKS, Vectors, extract_main_text, main_texts, runs_of
 from gleanery.llm.impact_index import quantised, top_k
 from gleanery.llm.markup_blocks import leaves
 from gleanery.session import scratch_dir
@@ -80,6 +80,33 @@ def test_main_text_of_pages(spark, pages):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_long_pages_are_learned_from(spark):
+    def page(k):
+        return PAGE.format(k).replace("<p><b>", f"<p>Some more text of page {k}, and so on. " * 1500 + "<p><b>")
+
+    rows = [(None if k % 2 else k, page(k)) for k in range(12)]
+    assert min(len(html) for _, html in rows) > 50_000
+    frame = spark.createDataFrame(rows, "page_id long, html string").selectExpr("page_id", "string(page_id) url", "html")
+    got = sorted(r["text"] for r in extract_main_text(frame).collect())
+    more = "Some more text of page {0}, and so on.\n" * 1500
+    expected = "{0} title.\nFirst & longer text, of page {0}.\n" + more + "Second text of page {0}."
+    assert got == sorted(expected.format(k) for k in range(12))
+
+
+def test_runs_cover_pages_from_first_to_last_block():
+    vectors = Vectors()
+    assert runs_of("", vectors) == runs_of("<br>", vectors) == []
+    (whole,) = runs_of("<p>a.</p><nav>b</nav>", vectors)
+    assert (whole.labels, whole.start, whole.end) == ([1, 0], 0.0, 1.0)
+    runs = runs_of("<p>a" * (3 * PAGE_BLOCKS) + "<nav>b", vectors)
+    assert sum(len(run.blocks) for run in runs) == PAGE_BLOCKS
+    assert runs[0].start == 0.0 and runs[-1].end == 1.0 and runs[-1].labels[-1] == 0
+
+
+def test_structure_decides_if_nothing_was_learned():
+    assert main_texts([PAGE.format(3), ""], None, Vectors())[0].startswith("3 title.\nFirst & longer")
+
+
 def test_leaves_of_broken_markup():
     def of(html):
         return [(x.path, x.text) for x in leaves(html)]
