@@ -2,8 +2,8 @@
 
 Base matches (e-mail addresses, IP addresses, card and phone numbers) are found by one
 regular expression per kind and are the seeds. The two words before a seed are its
-lexical pattern. Other identifier-like tokens stand behind patterns too, so patterns
-and instances form a graph. Scores run over it in rounds: a pattern is trusted as far as
+lexical pattern. Other identifier-like tokens and groups of digits stand behind patterns
+too, so patterns and instances form a graph. Scores run over it in rounds: a pattern is trusted as far as
 its instances are known to be of one kind, and an instance as far as its patterns are
 trusted. Tokens behind a pattern of high confidence are added as spans of its kind;
 base spans always stay.
@@ -32,12 +32,18 @@ NEEDED = {"email": "@", "ip": ".", "phone": "+"}
 # Identifier-like tokens: no white space or enclosing signs, a digit or an @.
 _TOKEN = r"[^\s,;:()<>\[\]{}\"'|]"
 TOKEN = rf"(?<!{_TOKEN})(?:(?![0-9@]){_TOKEN})*+[0-9@]{_TOKEN}*+"
+# Groups of digits, each plain or in brackets, joined over single spaces, hyphens and dots.
+# A plain group ends where its token ends, up to the stops of a sentence.
+_GROUP = rf"(?:\([0-9]++\)|[0-9]++(?:[.-][0-9]++)*+(?=[.!?]*+(?!{_TOKEN})|[.-]\([0-9]))"
+GROUPS = rf"(?:(?<!{_TOKEN})\+?+(?=[0-9(])|(?=\()){_GROUP}(?:[ .-]?+{_GROUP})*+"
+CANDIDATE = f"{GROUPS}|{TOKEN}"
 # Characters before an identifier in which its pattern's words are looked for.
 CONTEXT = 64
 ROUNDS = 3
 LEAST_SEEDS = 3
 CONFIDENCE = 0.6
-_OPEN, _SHUT = "\u0001", "\u0002"
+# _GONE stands for the digits of base spans where they are not to be joined to others.
+_OPEN, _SHUT, _GONE = "\u0001", "\u0002", "\u0004"
 
 SPAN = "struct<start:int,end:int,value:string,before:string>"
 
@@ -102,8 +108,8 @@ def _marked(text: Column, pattern: str, keep) -> Column:
 
 
 def _clean(text: Column) -> Column:
-    """Null is empty; the two marking characters become another control character."""
-    return F.translate(F.coalesce(text, F.lit("")), _OPEN + _SHUT, "\u0003\u0003")
+    """Null is empty; the marking characters become another control character."""
+    return F.translate(F.coalesce(text, F.lit("")), _OPEN + _SHUT + _GONE, "\u0003" * 3)
 
 
 def _digits(value: Column) -> Column:
@@ -140,9 +146,26 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(needed & text.rlike("[0-9@]"), found).otherwise(none)
 
 
+def _masked(text: Column, kind: str) -> Column:
+    """The text with _GONE for the digits of the valid matches of a kind."""
+
+    def mask(piece: Column) -> Column:
+        value = F.left(piece, F.instr(piece, _SHUT) - 1)
+        gone = F.when(_valid(kind, value), F.translate(value, "0123456789", _GONE * 10)).otherwise(value)
+        return F.when(F.instr(piece, _SHUT) > 0, F.concat(gone, _gap(piece))).otherwise(piece)
+
+    pieces = F.split(F.regexp_replace(text, PATTERNS[kind], f"{_OPEN}$0{_SHUT}"), _OPEN, -1)
+    return F.array_join(F.transform(pieces, mask), "")
+
+
 def _candidates(text: Column, base: Column) -> Column:
-    """Identifier-like tokens of five characters or more, with an @ or four digits or more,
-    that no base span touches. The stops that end a sentence are not part of them."""
+    """Groups of digits and other identifier-like tokens of five characters or more, with
+    an @ or four digits or more, that no base span touches.
+
+    Groups are joined as far as they go, but not to the digits of addresses and cards among
+    the base spans (those of phone numbers have no groups beside them). The stops that
+    end a sentence are not part of a candidate.
+    """
     none = F.array().cast(f"array<{SPAN}>")
 
     def like(value: Column) -> Column:
@@ -151,13 +174,15 @@ def _candidates(text: Column, base: Column) -> Column:
     def trimmed(token: Column) -> Column:
         value = F.rtrim(token["value"], F.lit(".!?"))
         end = token["start"] + F.length(value)
-        return F.struct(token["start"].alias("start"), end.alias("end"), value.alias("value"), token["before"].alias("before"))
+        before = F.translate(token["before"], _GONE, "0")  # a pattern has 0 for every digit
+        return F.struct(token["start"].alias("start"), end.alias("end"), value.alias("value"), before.alias("before"))
 
     def new(token: Column) -> Column:
         touched = F.exists(base, lambda s: (s["start"] < token["end"]) & (token["start"] < s["end"]))
         return like(token["value"]) & ~touched
 
-    tokens = F.transform(_marked(text, TOKEN, like), trimmed)
+    apart = F.when(F.size(base) > 0, _masked(_masked(text, "card"), "ip")).otherwise(text)
+    tokens = F.transform(_marked(apart, CANDIDATE, like), trimmed)
     return F.when(text.rlike("[0-9@]"), F.filter(tokens, new)).otherwise(none)
 
 

@@ -88,6 +88,33 @@ def test_candidates_before_the_end_of_a_sentence(spark):
     assert [tuple(s) for s in found[20]["added"]] == [(0, 21, 37)]
 
 
+def test_groups_of_digits_are_one_candidate(spark):
+    expected = {
+        "my phone 555 123 4567 now": [("555 123 4567", "my phone ")],
+        "phone (555) 123-4567. Then": [("(555) 123-4567", "phone ")],
+        "(phone 555.123.4567) tel(555)123-4567": [("555.123.4567", "(phone "), ("(555)123-4567", ") tel")],
+        "(555 123 4567) 1)555-(123)-4567, 12 345": [("555 123 4567", "("), ("555-(123)-4567", ")"), ("12 345", ", ")],
+        "card 4111 1111 1111 1112!": [("4111 1111 1111 1112", "card ")],
+        "555 123 4567x9 (0)20 1234-x": [("555 123", ""), ("4567x9", " "), ("1234-x", " ")],
+        "at 10.0.0.1 5551234567": [("5551234567", "at 00.0.0.0 ")],
+        "4111 1111 1111 1111 (555) 123-4567": [("(555) 123-4567", "0000 0000 0000 0000 ")],
+        "+1 555 010 0199 is base, +12 345 67 not, 555  1234 not": [("+12 345 67", " is base, ")],
+        "in 2024 we": [],
+    }
+    for text, found in zip(expected, candidates(spark, list(expected))):
+        assert found == expected[text], text
+    long = ["1(" * 50_000 + "1x", "1(1)" * 50_000 + "x", "1-(" * 50_000, "1 (1) " * 50_000 + "1x", "(1.1-" * 50_000, "1.2.3.4 555 12" * 5_000]
+    assert len(candidates(spark, long)) == len(long)
+
+
+def test_groups_behind_patterns_are_added(spark):
+    rows = [(i, f"my phone number +1 555 010 {1000 + i} thanks") for i in range(20)]
+    rows += [(20, "my phone number 555 123 4567. Thanks"), (21, "my phone number (555) 123-4567, thanks")]
+    found = {r["doc_id"]: r for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in found[20]["added"]] == [(3, 16, 28)]
+    assert [tuple(s) for s in found[21]["added"]] == [(3, 16, 30)]
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert find_personal_data(odd_docs).count() == odd_docs.count()
     assert find_personal_data(no_docs).count() == 0
