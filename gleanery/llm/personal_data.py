@@ -199,21 +199,18 @@ def learn_patterns(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     `graph` has one row per pattern and instance, with the kind number of the instance or
     null if it is unknown. Every round is two aggregates over the graph, which combine
     before the shuffle, and two joins; it is written, so a lost executor costs one round.
-    A pattern needs LEAST_SEEDS different seeds of its kind; patterns without any are
-    left out at once, for no round can raise them.
+    A pattern needs LEAST_SEEDS different seeds of its kind. Seeds are the base instances
+    and, in later rounds, instances whose score has reached CONFIDENCE, so that patterns
+    with discovered instances alone are learned too.
     """
     seeds = [F.max((F.col("kind") == k).cast("double")).alias(f"c{k}") for k in range(len(KINDS))]
     edges = graph.groupBy("pattern", "instance").agg(*seeds).na.fill(0.0)
-    able = edges.groupBy("pattern").agg(*(F.sum(f"c{k}").alias(f"n{k}") for k in range(len(KINDS))))
-    able = able.where(F.greatest(*(F.col(f"n{k}") for k in range(len(KINDS)))) >= LEAST_SEEDS)
-    edges = written(edges.join(able, "pattern"), "pattern-graph")
-    known = edges.select("pattern", "instance", *(F.col(f"c{k}") for k in range(len(KINDS))))
+    known = edges = written(edges, "pattern-graph")
     patterns = None
     for number in range(rounds):
         score = [(F.sum(f"c{k}") / (F.count("*") + 1)).alias(f"s{k}") for k in range(len(KINDS))]
-        support = edges.select("pattern", *(f"n{k}" for k in range(len(KINDS)))).distinct()
-        patterns = known.groupBy("pattern").agg(*score).join(support, "pattern")
-        patterns = written(patterns, "patterns")
+        support = [F.sum((F.col(f"c{k}") >= CONFIDENCE).cast("long")).alias(f"n{k}") for k in range(len(KINDS))]
+        patterns = written(known.groupBy("pattern").agg(*score, *support), "patterns")
         if number == rounds - 1:
             break
         trust = [F.when(F.col(f"n{k}") >= LEAST_SEEDS, F.col(f"s{k}")).otherwise(0.0) for k in range(len(KINDS))]

@@ -115,6 +115,16 @@ def test_groups_behind_patterns_are_added(spark):
     assert [tuple(s) for s in found[21]["added"]] == [(3, 16, 30)]
 
 
+def test_discovered_identifiers_induce_patterns(spark):
+    rows = [(i, f"please mail address: user{i}@example.com thanks") for i in range(20)]
+    rows += [(100 + i, f"please mail address: user_at_home{i}789 thanks") for i in range(6)]
+    rows += [(200 + i, f"or write towards user_at_home{i}789 thanks") for i in range(6)]
+    rows += [(300, "or write towards someone_at_work1234 thanks"), (301, "or read page someone_1234 thanks")]
+    found = {r["doc_id"]: r for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in found[300]["added"]] == [(0, 17, 36)]
+    assert found[301]["added"] == []
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert find_personal_data(odd_docs).count() == odd_docs.count()
     assert find_personal_data(no_docs).count() == 0
