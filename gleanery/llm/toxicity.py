@@ -72,6 +72,19 @@ class Lexicon:
         return best
 
 
+def _least_gap(some: list[int], others: list[int]) -> int:
+    """The least distance between two sorted lists of places, neither of them empty."""
+    i = j = 0
+    least = abs(some[0] - others[0])
+    while i < len(some) and j < len(others):
+        least = min(least, abs(some[i] - others[j]))
+        if some[i] < others[j]:
+            i += 1
+        else:
+            j += 1
+    return least
+
+
 def features_of(text: str, lexicon: Lexicon) -> list[float]:
     """The features of a whole text; zeros for an empty one."""
     lower = text.lower()
@@ -85,8 +98,7 @@ def features_of(text: str, lexicon: Lexicon) -> list[float]:
     persons = [i for i, w in enumerate(words) if w in SECOND_PERSON]
     near = 0.0
     if hits and persons:
-        gap = min(min(abs(i - j) for j in persons) for i, _, _ in hits) if len(hits) * len(persons) < 10_000 else 1
-        near = 1 / (1 + gap)
+        near = 1 / (1 + _least_gap([i for i, _, _ in hits], persons))
     tricks, trick_hits = 0, 0
     if hits or _has_tricks(lower):
         plain = {w for _, w, _ in hits}

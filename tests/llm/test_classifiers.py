@@ -71,6 +71,19 @@ def test_toxic_features():
     assert set(of("").values()) == {0.0} and of("***")["hits"] == 0
 
 
+def test_the_gap_to_a_person_is_exact_in_long_texts():
+    def near(text):
+        return dict(zip(toxicity.FEATURES, features_of(text, Lexicon({"idiot": 5.0}))))["near_second_person"]
+
+    assert near("idiot " * 200 + "word " * 99 + "you " * 200) == near("you " * 200 + "word " * 99 + "idiot " * 200) == 1 / 101
+    rng = random.Random(6)
+    for _ in range(200):
+        words = rng.choices(["idiot", "you", "word"], [1, 1, 8], k=rng.randrange(2, 30))
+        places = {w: [k for k, x in enumerate(words) if x == w] for w in words}
+        gaps = [abs(i - j) for i in places.get("idiot", []) for j in places.get("you", [])]
+        assert near(" ".join(words)) == (1 / (1 + min(gaps)) if gaps else 0.0)
+
+
 def test_planted_toxic_documents_go(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
