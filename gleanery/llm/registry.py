@@ -6,6 +6,7 @@ from gleanery.llm.archives import OP9_SQL, op9_warc
 from gleanery.llm.block_labeller import op10_main_text
 from gleanery.llm.cube import op6_mix
 from gleanery.llm.impact_index import OP8_SQL, op8_top_k
+from gleanery.llm.packing import op11_packing
 from gleanery.llm.personal_data import op3_personal_data
 from gleanery.llm.preference import op1_quality
 from gleanery.llm.simhash import op2_near_duplicates
@@ -14,7 +15,6 @@ from gleanery.llm.token_files import op7_token_files
 from gleanery.llm.toxicity import op4_toxicity
 
 
-
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -32,6 +32,7 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,
     "op10_main_text": op10_main_text,
+    "op11_packing": op11_packing,
     "pipeline": pipeline,
 }
 
