@@ -1,16 +1,14 @@
-import os
 import sys
 
 import pytest
 from pyspark.sql import SparkSession
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+from sample_tables import ROOT
+
 sys.path.insert(0, ROOT)
 
 from gleanery.session import BUILD_SETTINGS, configure  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

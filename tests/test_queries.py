@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from conftest import ROOT, SF
+from sample_tables import ROOT, SF
 
 sys.path.insert(0, ROOT)
 

@@ -10,7 +10,7 @@ from gleanery.operators import aggregates, limits
 from gleanery.plans import flow, views
 from gleanery.streaming import bucket, streams
 
-from conftest import SF
+from sample_tables import SF
 
 START = datetime(2024, 1, 1)
 
