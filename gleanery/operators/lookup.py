@@ -18,7 +18,7 @@ def fits_broadcast(table: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int =
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
-    key: str,
+    key: str | list[str],
     how: str = "inner",
     max_rows: int = MAX_ROWS,
     max_bytes: int = MAX_BYTES,
