@@ -5,7 +5,9 @@ from __future__ import annotations
 from gleanery.llm.archives import OP9_SQL, op9_warc
 from gleanery.llm.block_labeller import op10_main_text
 from gleanery.llm.cube import op6_mix
+from gleanery.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from gleanery.llm.impact_index import OP8_SQL, op8_top_k
+from gleanery.llm.merkle import OP12_SQL, op12_manifest
 from gleanery.llm.packing import op11_packing
 from gleanery.llm.personal_data import op3_personal_data
 from gleanery.llm.preference import op1_quality
@@ -33,10 +35,14 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_main_text": op10_main_text,
     "op11_packing": op11_packing,
+    "op12_manifest": op12_manifest,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {
     "op8_top_k": OP8_SQL,
     "op9_warc": OP9_SQL,
+    "op12_manifest": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
