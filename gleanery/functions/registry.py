@@ -10,6 +10,9 @@ from gleanery.functions.text import trim_text
 
 Normalizer = Callable[[Column], Column]
 Extractor = Callable[[DataFrame], DataFrame]
+# From the columns body and mappings (target field -> record key) to the records of a body,
+# array<map<string,string>>; null for a body that cannot be read.
+Reader = Callable[[Column, Column], Column]
 
 NO_CONTENT = "no content to normalize"
 
@@ -20,6 +23,7 @@ class Registry:
     def __init__(self) -> None:
         self.normalizers: dict[str, Normalizer] = {}
         self.extractors: dict[str, Extractor] = {}
+        self.readers: dict[str, Reader] = {}
         for content_type in ("text", "html", "json", "rss"):
             self.register_normalizer(content_type, trim_text)
 
@@ -27,8 +31,14 @@ class Registry:
         self.normalizers[content_type] = fn
 
     def register_extractor(self, parser: str, job: Extractor) -> None:
+        """A job over the bodies of a type, as a pass of its own."""
         self.extractors[parser] = job
 
+    def register_reader(self, parser: str, reader: Reader) -> None:
+        """A reader on columns, chosen per row in the one pass over all bodies; an Arrow
+        function may be behind it. It replaces a built-in reader of its name."""
+        self.readers[parser] = reader
+
     def normalized(self, content: Column, content_type: Column) -> Column:
         """One `when` chain; a type nobody registered keeps its content."""
         chain = None

@@ -10,18 +10,10 @@ from pyspark.sql import SparkSession
 from gleanery.functions.collections import CATEGORY_WORDS, DEFAULT_USER_AGENT
 from gleanery.functions.dates import DATE_REWRITES, DATE_SHAPES, ISO_START, ZONE_NAME, RFC3339
 from gleanery.functions.registry import NO_CONTENT
-from gleanery.functions.text import ENTITIES, HIDDEN_MARKUP, SPACES, TAG, WHITE_SPACE
+from gleanery.functions.text import DECODED_PIECE, HIDDEN_MARKUP, SPACES, TAG, WHITE_SPACE, sql_pattern, sql_text
 from gleanery.schemas import RESULT_TYPES
 
 
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _raw(pattern: str) -> str:
-    return f'r"{pattern}"'
-
-
 _WS = "'" + "".join(f"\\u{ord(c):04x}" for c in WHITE_SPACE) + "'"
 # Written in two pieces: `${...}` inside SQL text would be taken for a variable.
 _PAGE = "concat('$', '{page}')"
@@ -33,29 +25,22 @@ def _trim(c: str) -> str:
 
 
 def _strip(c: str) -> str:
-    visible = f"regexp_replace(regexp_replace({c}, {_raw(HIDDEN_MARKUP)}, ' '), {_raw(TAG)}, ' ')"
-    cases = " ".join(
-        f"WHEN startswith(p, '{name};') THEN concat({_text(char)}, substr(p, {len(name) + 2}))"
-        for name, char in ENTITIES
-    )
-    decoded = (
-        f"array_join(transform(split({visible}, '&'), "
-        f"(p, i) -> CASE WHEN i = 0 THEN p {cases} ELSE concat('&', p) END), '')"
-    )
-    return _trim(f"regexp_replace({decoded}, {_raw(SPACES)}, ' ')")
+    visible = f"regexp_replace(regexp_replace({c}, {sql_pattern(HIDDEN_MARKUP)}, ' '), {sql_pattern(TAG)}, ' ')"
+    decoded = f"array_join(transform(split({visible}, '&'), {DECODED_PIECE}), '')"
+    return _trim(f"regexp_replace({decoded}, {sql_pattern(SPACES)}, ' ')")
 
 
 def _parse_date(c: str) -> str:
     text = _trim(c)
     for found, put in DATE_REWRITES:
-        text = f"regexp_replace({text}, {_raw(found)}, {_text(put)})"
-    zone = f"regexp_extract(x, {_raw(ZONE_NAME)}, 0)"
+        text = f"regexp_replace({text}, {sql_pattern(found)}, {sql_text(put)})"
+    zone = f"regexp_extract(x, {sql_pattern(ZONE_NAME)}, 0)"
     capitals = (
-        f"IF(x RLIKE {_raw(ISO_START)}, upper(x), "
+        f"IF(x RLIKE {sql_pattern(ISO_START)}, upper(x), "
         f"concat(left(x, length(x) - length({zone})), upper({zone})))"
     )
     cases = " ".join(
-        f'WHEN x RLIKE {_raw(shape)} THEN try_to_timestamp(x, "{pattern}")'
+        f'WHEN x RLIKE {sql_pattern(shape)} THEN try_to_timestamp(x, "{pattern}")'
         for shape, pattern in DATE_SHAPES
     )
     # A one-element array names the intermediate text, so it is written once.
@@ -63,7 +48,7 @@ def _parse_date(c: str) -> str:
 
 
 def _in(values: tuple[str, ...]) -> str:
-    return ", ".join(_text(v) for v in values)
+    return ", ".join(sql_text(v) for v in values)
 
 
 def _encoded(c: str) -> str:
@@ -72,7 +57,7 @@ def _encoded(c: str) -> str:
 
 _LINE = "substring_index(l, '#', 1)"
 _COLON = "':'"
-_AFTER_COLON = _raw("(?s)^[^:]*:(.*)$")
+_AFTER_COLON = sql_pattern("(?s)^[^:]*:(.*)$")
 
 _ROBOTS_LINES = (
     "filter(transform(split(body, '\\n'), (l, i) -> named_struct('pos', i, "
@@ -98,7 +83,7 @@ _ROBOTS_GROUPS = (
 _NORMALIZED_TYPES = ("text", "html", "json", "rss")
 
 _CATEGORY_CASES = " ".join(
-    f"WHEN {_text(old)} THEN {_text(new)}" for old, new in CATEGORY_WORDS.items()
+    f"WHEN {sql_text(old)} THEN {sql_text(new)}" for old, new in CATEGORY_WORDS.items()
 )
 
 SCALARS = {
@@ -111,7 +96,7 @@ SCALARS = {
     ),
     "glean_normalize_error(c STRING, kind STRING) RETURNS STRING": (
         f"CASE WHEN kind IN ({_in(_NORMALIZED_TYPES)}) AND coalesce(c, '') = '' "
-        f"THEN {_text(NO_CONTENT)} END"
+        f"THEN {sql_text(NO_CONTENT)} END"
     ),
     "glean_format_date(t TIMESTAMP) RETURNS STRING": f'date_format(t, "{RFC3339}")',
     "glean_parse_date(c STRING) RETURNS TIMESTAMP": _parse_date("c"),
@@ -125,7 +110,7 @@ SCALARS = {
         f"replace(replace(u, {_PAGE}, '1'), {_DATE}, date_format(d, 'yyyy-MM-dd'))"
     ),
     "glean_headers(h MAP<STRING, STRING>) RETURNS MAP<STRING, STRING>": (
-        f"map_concat(map('user-agent', {_text(DEFAULT_USER_AGENT)}), "
+        f"map_concat(map('user-agent', {sql_text(DEFAULT_USER_AGENT)}), "
         "transform_keys(coalesce(h, map()), (k, v) -> lower(k)))"
     ),
     "glean_set_parameter(u STRING, name STRING, v STRING) RETURNS STRING": (

@@ -29,7 +29,7 @@ def _flag(c: Column) -> Column:
     return F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def _outcome_rows(fetches: DataFrame, parses: DataFrame) -> DataFrame:
+def outcome_rows(fetches: DataFrame, parses: DataFrame) -> DataFrame:
     """Fetches and parses as one table of 0/1 counters, to be summed in one pass."""
     ok, failed = F.col("error").isNull(), F.col("error").isNotNull()
     zero = F.lit(0).cast("bigint")
@@ -56,7 +56,7 @@ def _outcome_rows(fetches: DataFrame, parses: DataFrame) -> DataFrame:
     return fetched.unionByName(parsed)
 
 
-def _totals() -> list[Column]:
+def outcome_totals() -> list[Column]:
     sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in COUNTERS]
     processed = F.coalesce(F.sum(F.col("successful_fetches") + F.col("failed_fetches")), F.lit(0))
     return [
@@ -69,22 +69,27 @@ def _totals() -> list[Column]:
 
 def run_stats(sources: DataFrame, fetches: DataFrame, parses: DataFrame) -> DataFrame:
     """One row of counters over a whole run."""
+    return total_stats(sources, outcome_rows(fetches, parses))
+
+
+def total_stats(sources: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The counters of a run from any rows that hold counters, start and end."""
     registered = sources.select(
         *(F.lit(0).cast("bigint").alias(c) for c in COUNTERS),
         F.lit(None).cast("timestamp").alias("start_time"),
         F.lit(None).cast("timestamp").alias("end_time"),
         F.lit(1).cast("bigint").alias("_source"),
     )
-    rows = _outcome_rows(fetches, parses).drop("source_id")
+    rows = outcomes.select(*COUNTERS, "start_time", "end_time")
     rows = rows.withColumn("_source", F.lit(0).cast("bigint")).unionByName(registered)
     return rows.agg(
-        F.coalesce(F.sum("_source"), F.lit(0)).cast("bigint").alias("total_sources"), *_totals()
+        F.coalesce(F.sum("_source"), F.lit(0)).cast("bigint").alias("total_sources"), *outcome_totals()
     )
 
 
 def source_stats(fetches: DataFrame, parses: DataFrame) -> DataFrame:
     """The same counters per source."""
-    return _outcome_rows(fetches, parses).groupBy("source_id").agg(*_totals())
+    return outcome_rows(fetches, parses).groupBy("source_id").agg(*outcome_totals())
 
 
 def part_number(id_column: Column, parts: Column) -> Column:

@@ -26,21 +26,26 @@ def slice_hot_keys(
     A slice has at most about `hot_rows` rows, unless more rows are equal in key, time and
     ties. Rows without a key belong together with no other row and are not `_hot`.
 
-    The sliced rows are written to the shared folder once: the windows and the summary
-    read them there, and their slices stay what they are when a task runs again.
+    The rows are computed once and written to the shared folder; counting, the sample of
+    the ranges, the windows and the summary read them there. Up to `hot_rows` rows are one
+    slice as they are. Beyond, the sliced rows are written too, so that their slices stay
+    what they are when a task runs again.
     """
     ties = (tie,) if isinstance(tie, str) else tuple(tie)
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(least, df.count() * SPREAD // hot_rows + 1)
-    dealt = df.repartitionByRange(ranges, key, ts, *ties)
+    rows = written(df, "slice-rows")
+    count = rows.count()
     alone = F.col(key).isNull()
-    return written(
-        dealt.withColumn("_hot", ~alone).withColumn(
-            "_slice",
-            F.when(alone, F.xxhash64(ts, *ties)).otherwise(F.spark_partition_id().cast("bigint")),
-        ),
-        "slices",
-    )
+
+    def numbered(dealt: DataFrame, number: Column) -> DataFrame:
+        slice_of = F.when(alone, F.xxhash64(ts, *ties)).otherwise(number.cast("bigint"))
+        return dealt.withColumn("_hot", ~alone).withColumn("_slice", slice_of)
+
+    if count <= hot_rows:
+        return numbered(rows, F.lit(0))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, count * SPREAD // hot_rows + 1)
+    dealt = rows.repartitionByRange(ranges, key, ts, *ties)
+    return written(numbered(dealt, F.spark_partition_id()), "slices")
 
 
 def slice_window(key: str, *order: str | Column):

@@ -17,10 +17,11 @@ from gleanery.functions.selectors import first_match
 from gleanery.functions.sql_names import register_all
 from gleanery.operators import aggregates, extract, fetches, filters, joins, limits, normalize, robots
 from gleanery.plans import flow, views
-from gleanery.session import STREAM_SETTINGS, configure, scratch_dir
-from gleanery.sinks import writers
+from gleanery.session import configure, scratch_dir
+from gleanery.sinks import committed, writers
+from gleanery.sources import fetches as scanned
 from gleanery.sources import frontier, registry
-from gleanery.streaming import bucket, streams
+from gleanery.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,6 +126,21 @@ def sitemap_urls(spark: SparkSession, sf: str) -> DataFrame:
     return frontier.sitemap_urls(views.sitemaps(spark, sf))
 
 
+@query
+def sitemap_documents(spark: SparkSession, sf: str) -> DataFrame:
+    roots, documents = views.sitemap_index(spark, sf)
+    found = frontier.sitemap_documents(roots, documents)
+    return found.select("source_id", "url", "error", F.length("xml").alias("chars"))
+
+
+@query
+def sitemap_index_urls(spark: SparkSession, sf: str) -> DataFrame:
+    roots, documents = views.sitemap_index(spark, sf)
+    found = frontier.sitemap_documents(roots, documents).where("error is null")
+    rules = views.sources(spark, sf).select("source_id", "sitemap.*")
+    return frontier.sitemap_urls(found.join(rules, "source_id"))
+
+
 @query
 def url_parts(spark: SparkSession, sf: str) -> DataFrame:
     pages = views.read(spark, sf, "pages")
@@ -141,6 +157,18 @@ def scan_fetches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def scan_dump_records(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_dir(spark, "dump") + "/dump"
+    record = F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.coalesce("text", F.lit("")))
+    end = "\n\x1e\n"
+    views.read(spark, sf, "documents").select(record.alias("value")).write.option("lineSep", end).text(path)
+    records = scanned.scan_dump_records(spark, path, end)
+    key = F.substring_index("body", "\t", 1)
+    text_of = F.substring("body", F.length(key) + 2, F.length("body"))
+    return records.select(key.cast("bigint").alias("doc_id"), F.md5(text_of).alias("text"))
+
+
 # --- robots.txt -----------------------------------------------------------------
 
 
@@ -257,6 +285,23 @@ def extract_html(spark: SparkSession, sf: str) -> DataFrame:
     return extract.extract_html(pages, fields).withColumn("content", F.md5("content"))
 
 
+@query
+def extract_selectors(spark: SparkSession, sf: str) -> DataFrame:
+    pages = views.read(spark, sf, "pages")
+    fields = {
+        "title": "article > h2, article > h1", "category": "nav li:nth-child(2) a",
+        "url": "nav > ul > li:last-child > a", "author": "body > div.ad", "date": "article + footer",
+    }
+    return extract.extract_html(pages, fields)
+
+
+@query
+def extract_selector_lists(spark: SparkSession, sf: str) -> DataFrame:
+    pages = views.read(spark, sf, "pages")
+    lists = extract.extract_multi(pages, {"links": "nav li > a", "tags": "ul > li:nth-child(n+2)"})
+    return lists.select("page_id", _joined("links"), _joined("tags"))
+
+
 @query
 def extract_html_items(spark: SparkSession, sf: str) -> DataFrame:
     pages = views.read(spark, sf, "pages").filter(F.col("html").isNotNull())
@@ -294,6 +339,32 @@ def extract_xml(spark: SparkSession, sf: str) -> DataFrame:
     return _record_items(extract.extract_xml(views.xml_bodies(spark, sf), mappings))
 
 
+@query
+def extract_json_paths(spark: SparkSession, sf: str) -> DataFrame:
+    mappings = {
+        "container": "data.rows", "title": "name.first", "author": "name['last name']", "content": "text",
+        "category": "tags[1]", "k": "meta[0].k",
+    }
+    found = extract.extract_json(views.nested_json_bodies(spark, sf), mappings)
+    return found.select(
+        F.col("extra")["k"].cast("bigint").alias("doc_id"), "title", "author", "category", F.md5("content").alias("content")
+    )
+
+
+@query
+def extract_xml_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_dir(spark, "xml_files") + "/items"
+    docs = views.read(spark, sf, "documents").select(
+        F.col("doc_id").alias("k"), F.col("source").alias("name"), F.col("text").alias("description"),
+        F.col("lang").alias("category"), F.col("n_chars").alias("price"),
+    )
+    writers.write_xml(docs, path, root="items", row="item")
+    mappings = {
+        "title": "name", "content": "description", "category": "category", "price": "price", "k": "k",
+    }
+    return _record_items(extract.extract_xml(scanned.scan_xml(spark, path, "item"), mappings))
+
+
 def _record_items(found: DataFrame) -> DataFrame:
     return found.select(
         F.col("extra")["k"].cast("bigint").alias("doc_id"),
@@ -323,6 +394,21 @@ def dispatch_extract(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page_id", "extracted_by", "title", "url", "date", "error")
 
 
+@query
+def dispatch_containers(spark: SparkSession, sf: str) -> DataFrame:
+    found = extract.dispatch_extract(views.container_bodies(spark, sf), views.container_sources(spark, sf))
+    return found.select("page_id", "item_no", "title", "url", "error")
+
+
+@query
+def stream_containers(spark: SparkSession, sf: str) -> DataFrame:
+    base = scratch_dir(spark, "stream_containers")
+    arriving = views.container_bodies_of(_page_stream(spark, sf))
+    flowing = streams.stream_items(arriving, views.container_sources(spark, sf))
+    streams.run_to_end(streams.stream_sink(flowing, f"{base}/out", f"{base}/checkpoint"))
+    return spark.read.parquet(f"{base}/out").select("page_id", "item_no", "title", "url", "error")
+
+
 @query
 def extra_fields(spark: SparkSession, sf: str) -> DataFrame:
     jobs = fetches.to_parse_jobs(views.bodies(spark, sf))
@@ -439,6 +525,15 @@ def filter_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return filters.filter_keywords(docs, ["SRC1", "the ", "queaux"], EXCLUDE).select("doc_id", "title")
 
 
+@query
+def filter_keyword_tables(spark: SparkSession, sf: str) -> DataFrame:
+    docs = views.read(spark, sf, "documents").select(
+        "doc_id", F.col("source").alias("title"), F.col("text").alias("content")
+    )
+    include, exclude = views.keywords(spark, sf)
+    return filters.filter_keyword_tables(docs, include, exclude).select("doc_id", "title")
+
+
 # --- joins ----------------------------------------------------------------------
 
 
@@ -506,9 +601,13 @@ def aggregate_results(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
+def _outcome_columns(fetched: DataFrame) -> DataFrame:
     title = first_match("title", F.col("body"), "h1")
-    return views.fetches(spark, sf).select("page_id", "source_id", title.alias("content"), "error")
+    return fetched.select("page_id", "source_id", title.alias("content"), "error")
+
+
+def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return _outcome_columns(views.fetches(spark, sf))
 
 
 @query
@@ -591,6 +690,10 @@ def write_json(spark: SparkSession, sf: str) -> DataFrame:
 def write_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark, "csv") + "/out"
     writers.write_results(_results(spark, sf), path, "csv")
+    return _read_report(spark, path)
+
+
+def _read_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
     rows = (
         spark.read.schema("Content string, `Error Count` bigint")
         .option("header", True).option("escape", '"').option("multiLine", True)
@@ -681,15 +784,37 @@ def stream_rate_audit(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("host", _micros("minute"), "n", "rpm")
 
 
+def _outcome_counters(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    base = scratch_dir(spark, name)
+    fetched = views.fetches_of(_page_stream(spark, sf))
+    parsed = views.parses_of(views.fetches_of(_page_stream(spark, sf)))
+    counters = streams.stream_outcomes(fetched, parsed)
+    streams.run_to_end(streams.update_sink(counters, f"{base}/out", f"{base}/checkpoint"))
+    return streams.latest_rows(spark, f"{base}/out", ["source_id"])
+
+
 @query
-def stream_token_bucket(spark: SparkSession, sf: str) -> DataFrame:
-    base = scratch_dir(spark, "stream_token_bucket")
-    for setting, value in STREAM_SETTINGS.items():
-        spark.conf.set(setting, value)
-    requests = views.requests_of(_event_stream(spark, sf))
-    decided = bucket.stream_token_bucket(requests, key="host")
-    streams.run_to_end(streams.stream_sink(decided, f"{base}/out", f"{base}/checkpoint"))
-    return spark.read.parquet(f"{base}/out").select("id", "host", _micros("ts"), "allowed")
+def stream_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return _plain_stats(_outcome_counters(spark, sf, "stream_outcomes"))
+
+
+@query
+def stream_run(spark: SparkSession, sf: str) -> DataFrame:
+    latest = _outcome_counters(spark, sf, "stream_run")
+    return _plain_stats(streams.run_of(views.sources(spark, sf), latest))
+
+
+@query
+def stream_report(spark: SparkSession, sf: str) -> DataFrame:
+    base = scratch_dir(spark, "stream_report")
+    found = _outcome_columns(views.fetches_of(_page_stream(spark, sf)))
+    results = found.select(
+        F.array_compact(F.array("content")).alias("contents"), F.array_compact(F.array("error")).alias("errors")
+    )
+    for _ in range(2):  # the second run restarts from the checkpoint and adds nothing
+        sink = streams.stream_sink(results, f"{base}/out", f"{base}/checkpoint", format="csv")
+        streams.run_to_end(sink)
+    return committed.read_committed(spark, f"{base}/out", lambda folders: _read_report(spark, folders))
 
 
 @query
@@ -730,6 +855,22 @@ def register_extractor(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page_id", "extracted_by", "title", "error")
 
 
+@query
+def register_reader(spark: SparkSession, sf: str) -> DataFrame:
+    known = Registry()
+    known.register_reader(
+        "pdf",
+        lambda body, mappings: F.array(
+            F.create_map(F.lit("head"), F.regexp_extract(body, r"<title>([^<]*)</title>", 1))
+        ),
+    )
+    mapped = F.when(F.col("parser") == "pdf", F.create_map(F.lit("title"), F.lit("head"))).otherwise(F.col("mappings"))
+    sources = views.sources(spark, sf).withColumn("mappings", mapped)
+    jobs = fetches.to_parse_jobs(views.bodies(spark, sf))
+    found = extract.dispatch_extract(jobs, sources, known)
+    return found.select("page_id", "extracted_by", "title", "error")
+
+
 @query
 def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
     register_all(spark)

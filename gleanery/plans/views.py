@@ -187,15 +187,54 @@ def bodies_of(pages: DataFrame) -> DataFrame:
     return fetches_of(pages.withColumn("html", body))
 
 
+def container_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """HTML sources with containers, combinators and, for some, a selector no one can read."""
+    n = F.length("source_id")
+    nested = {"container": "div.list div.item", "title": "h2:first-child, h3:nth-of-type(1)", "url": "div > a"}
+    beside = {"container": ".item + .item", "title": "p ~ h3", "url": "a"}
+    whole = {"title": "div.list > div:last-child > h3", "url": "ul > li:nth-child(2) > a"}
+    unreadable = {"container": "div.item", "title": "h2::text"}
+    lit_map = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv))
+    selectors = F.when(n % 7 == 3, lit_map(unreadable)).when(n % 3 == 0, lit_map(nested))
+    selectors = selectors.when(n % 3 == 1, lit_map(beside)).otherwise(lit_map(whole))
+    return sources(spark, sf).withColumns(
+        {"parser": F.lit("html"), "type": F.lit("html"), "selectors": selectors, "mappings": F.lit(None).cast("map<string,string>")}
+    )
+
+
+def container_bodies_of(pages: DataFrame) -> DataFrame:
+    """Each page behind a list of items, one inside another, some of them half empty."""
+    key, title = F.col("page_id").cast("string"), F.coalesce(first_match("title", F.col("html"), "h1"), F.lit(""))
+    link = _xml_text(F.col("url"))
+    listed = F.concat(
+        F.lit('<div class="list"><div class="item"><h2>'), _xml_text(title),
+        F.lit('</h2><p>one</p><div class="item"><h2>inner '), key, F.lit('</h2><p>open<div><a href="'), link,
+        F.lit('#i">in</a></div></div><span></span><a href="'), link,
+        F.lit('">out</a></div><div class="item extra"><h2>&nbsp;</h2><p>x<p>y</p><h3>late '), key, F.lit("</h3></div></div>"),
+    )
+    return pages.select(
+        "page_id", url_host(F.col("url")).alias("source_id"), "url", F.concat(listed, F.coalesce("html", F.lit(""))).alias("body"),
+        F.lit(200).alias("status"),
+    )
+
+
+def container_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return container_bodies_of(read(spark, sf, "pages"))
+
+
 def bodies(spark: SparkSession, sf: str) -> DataFrame:
     return bodies_of(read(spark, sf, "pages"))
 
 
 def parses(spark: SparkSession, sf: str) -> DataFrame:
+    return parses_of(fetches(spark, sf))
+
+
+def parses_of(fetched: DataFrame) -> DataFrame:
     page_id = F.col("page_id")
     failed = page_id % 17 == 0
     return (
-        fetches(spark, sf)
+        fetched
         .filter(F.col("body").isNotNull())
         .select(
             "page_id",
@@ -314,6 +353,39 @@ def json_bodies(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def nested_json_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of three shapes: an array of records, one with other values between, one record."""
+    record = F.struct(
+        F.struct(F.col("source").alias("first"), F.col("lang").alias("last name")).alias("name"),
+        F.array("lang", "source").alias("tags"),
+        "text",
+        F.array(F.struct(F.col("doc_id").alias("k"))).alias("meta"),
+    )
+    batches = read(spark, sf, "documents").groupBy(F.expr(f"doc_id div {PER_BODY}").alias("batch"))
+    rows = batches.agg(F.array_sort(F.collect_list(F.struct("doc_id", record.alias("r")))).alias("rows"))
+    listed = F.transform("rows", lambda row: F.to_json(row["r"]))
+    case = F.col("batch") % 3
+    held = (
+        F.when(case == 0, F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")))
+        .when(case == 1, F.concat(F.lit('[7,"x",null,'), F.array_join(listed, ',["y"],'), F.lit("]")))
+        .otherwise(F.get(listed, F.lit(0)))
+    )
+    return rows.select("batch", F.concat(F.lit('{"data":{"rows":'), held, F.lit("}}")).alias("body"))
+
+
+def keywords(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Long words of the benchmark to include and of the conversations to exclude."""
+    split = lambda table: read_words(spark, sf, table).distinct()
+    include = split("benchmark").where(F.length("word") >= 8)
+    exclude = split("conversations").where(F.length("word") >= 14)
+    return include, exclude
+
+
+def read_words(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    texts = spark.read.parquet(f"{sf}/{table}.parquet").select("text")
+    return texts.select(F.explode(F.split("text", " ")).alias("word"))
+
+
 def _tag(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"<{name}>"), _xml_text(value), F.lit(f"</{name}>"))
 
@@ -363,6 +435,33 @@ def sitemaps(spark: SparkSession, sf: str) -> DataFrame:
     return documents.select("source_id", "doc_pos", xml.alias("xml")).join(rules, "source_id")
 
 
+def sitemap_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The sitemaps of every host behind an index that lists itself, a second index, a page
+    that is no sitemap and one that is missing. The second index leads back to the first."""
+    base = F.concat(F.lit("https://"), F.col("source_id"), F.lit("/"))
+    parts = sitemaps(spark, sf).select("source_id", "doc_pos", "xml")
+    named = parts.withColumn("url", F.concat(base, F.lit("part-"), F.col("doc_pos").cast("string"), F.lit(".xml")))
+    loc = lambda u: F.concat(F.lit("<sitemap><loc> "), u, F.lit(" </loc></sitemap>"))
+    index = lambda entries: F.concat(
+        F.lit('<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), entries, F.lit("</sitemapindex>")
+    )
+    hosts = named.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("doc_pos", "url"))).alias("parts"))
+    first, rest = F.get("parts", F.lit(0))["url"], F.slice("parts", 2, 2**30)
+    root, more = F.concat(base, F.lit("sitemap.xml")), F.concat(base, F.lit("more.xml"))
+    main = index(F.concat(loc(root), loc(first), loc(more), loc(F.concat(base, F.lit("gone.xml"))), loc(F.concat(base, F.lit("page.html")))))
+    second = index(F.concat(F.array_join(F.transform(rest, lambda p: loc(p["url"])), ""), loc(root), loc(first)))
+    listed = hosts.select(
+        F.explode(
+            F.array(
+                F.struct(root.alias("url"), main.alias("xml")),
+                F.struct(more.alias("url"), second.alias("xml")),
+                F.struct(F.concat(base, F.lit("page.html")).alias("url"), F.lit("<html><body>no</body></html>").alias("xml")),
+            )
+        ).alias("d")
+    ).select("d.*")
+    return hosts.select("source_id", root.alias("url")), named.select("url", "xml").unionByName(listed)
+
+
 def categories(spark: SparkSession, sf: str) -> DataFrame:
     extra = F.get(F.array(F.lit("Tech"), F.lit("prog"), F.lit("Technologies")), (F.col("doc_id") % 3).cast("int"))
     return read(spark, sf, "documents").select(

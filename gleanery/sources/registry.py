@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from gleanery.functions.elements import needs_elements
 from gleanery.functions.selectors import compiled_patterns
 from gleanery.schemas import PARSERS, SOURCES
 
@@ -134,18 +135,22 @@ def frontier_top(sources: DataFrame, n: int) -> DataFrame:
 
 
 def extraction_rules(sources: DataFrame) -> DataFrame:
-    """(source_id, parser, patterns, mappings): what is needed to read a body.
+    """(source_id, parser, patterns, selectors, mappings): what is needed to read a body.
 
-    Selectors become patterns once per source row, before the sources meet the pages.
-    HTML records are keyed by field already, so their mapping is field -> field.
+    Selectors of leaf forms become patterns once per source row, before the sources meet
+    the pages; those with a container or a combinator stay selectors, to be met on the
+    elements of the page. Blank selectors are left out. HTML records are keyed by field
+    already, so their mapping is field -> field.
     """
     none = F.create_map().cast("map<string,string>")
-    selectors = F.coalesce("selectors", none)
+    selectors = F.map_filter(F.coalesce("selectors", none), lambda _, s: F.coalesce(F.trim(s), F.lit("")) != "")
     parser = F.coalesce(F.nullif("parser", F.lit("")), "type")
+    structured = needs_elements(selectors)
     return sources.select(
         "source_id",
         parser.alias("parser"),
-        F.when(parser == "html", compiled_patterns(selectors)).alias("patterns"),
+        F.when((parser == "html") & ~structured, compiled_patterns(selectors)).alias("patterns"),
+        F.when((parser == "html") & structured, selectors).alias("selectors"),
         F.when(parser == "html", F.transform_values(selectors, lambda k, _: k))
         .otherwise(F.coalesce("mappings", none))
         .alias("mappings"),

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from gleanery.functions.registry import Registry
+from gleanery.operators.aggregates import outcome_rows, outcome_totals, total_stats
 from gleanery.operators.limits import DEFAULT_RPM
 from gleanery.plans.flow import items_with_errors
+from gleanery.sinks.committed import write_batch
 from gleanery.sinks.writers import WRITERS
 
 
@@ -46,6 +48,21 @@ def stream_stats(fetches: DataFrame) -> DataFrame:
     )
 
 
+def stream_outcomes(fetches: DataFrame, parses: DataFrame) -> DataFrame:
+    """Running counters of fetches and parses per source, as `source_stats` counts them.
+
+    Both streams are one table of counters with one state, a row per source, whichever of
+    them is ahead; there is no join of streams to wait for. For `update_sink`; the sources
+    of `latest_rows` make up the run with `run_of`.
+    """
+    return outcome_rows(fetches, parses).groupBy("source_id").agg(*outcome_totals())
+
+
+def run_of(sources: DataFrame, latest: DataFrame) -> DataFrame:
+    """The counters of the whole run, as `run_stats` has them, from those of its sources."""
+    return total_stats(sources, latest)
+
+
 def stream_rate_audit(
     requests: DataFrame,
     limits: DataFrame,
@@ -72,9 +89,9 @@ def stream_sink(
 ) -> DataStreamWriter:
     """Append rows to files exactly once.
 
-    The file sink logs committed files. The report formats have no such log: each
-    micro-batch overwrites the folder of its own number, so a repeated batch replaces
-    what it wrote before the restart.
+    The file sink logs committed files. The report formats have no such log: a micro-batch
+    is written aside, moved to its place and then entered in a manifest
+    (`sinks.committed`), and `read_committed` reads what is entered there.
     """
     if format in ("parquet", "json", "orc"):
         return (
@@ -87,7 +104,7 @@ def stream_sink(
         raise ValueError(f"unsupported format: {format}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        WRITERS[format](batch, f"{path}/batch={batch_id}", "overwrite")
+        write_batch(batch, path, batch_id, format)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

@@ -30,7 +30,7 @@ def test_trim(one, raw, trimmed):
         ("x<script>var t='</p>';</script>y", "x y"),
         ("<STYLE type=a>p{}</STYLE >z<!-- c\n<b> -->w", "z w"),
         ("a &lt;b&gt; &amp;amp; &amp;lt; &quot;q&quot; &#39;s&apos;&nbsp;e", "a <b> &amp; &lt; \"q\" 's' e"),
-        ("&copy; & &unknown;", "&copy; & &unknown;"),
+        ("&copy; & &unknown;", "© & &unknown;"),
         ("1 < 2 <b>and</b> 3 > 2", "1 < 2 and 3 > 2"),
         ("a<script>never closed <p>", "a"),
         ("a<!-- open", "a"),

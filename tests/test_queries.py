@@ -61,7 +61,9 @@ def test_entry(spark):
     assert frame.columns == ["host", "pages", "content_chars", "last_title"] and frame.count() > 0
 
 
-PYTHON_JOBS = {"extract_html_items"}
+PYTHON_JOBS = {
+    "extract_html_items", "dispatch_containers", "extract_selectors", "extract_selector_lists", "filter_keyword_tables",
+}
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(("stream", "write"))))

@@ -1,14 +1,13 @@
 import random
 from datetime import datetime, timedelta
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions.registry import Registry
 from gleanery.operators import aggregates, limits
 from gleanery.plans import flow, views
-from gleanery.streaming import bucket, streams
+from gleanery.streaming import streams
 
 from sample_tables import SF
 
@@ -111,31 +110,79 @@ def test_rate_audit_equals_batch_and_drops_late_rows(spark, tmp_path):
     assert rows_of(streams.latest_rows(spark, f"{tmp_path}/out", ["host", "minute"]), *names) == want
 
 
-def test_bucket_over_micro_batches(spark, tmp_path):
-    rng = random.Random(9)
-    rows, now = [], 0
-    for i in range(400):
-        now += rng.choice([0, 1, 2, 4])
-        rows.append((i, rng.choice(["hot", "hot", "cold"]), START + timedelta(seconds=now), 6))
-    path = str(tmp_path / "in")
-    schema = "id bigint, key string, ts timestamp, rpm int"
-    for n in range(4):  # files in event order, one per micro-batch
-        spark.createDataFrame(rows[n * 100:(n + 1) * 100], schema).coalesce(1).write.mode("append").parquet(path)
-    decided = bucket.stream_token_bucket(read_schema(spark, path))
-    streams.run_to_end(streams.stream_sink(decided, f"{tmp_path}/out", f"{tmp_path}/check"))
-    got = {r.id: r.allowed for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert len(got) == len(rows)
-    for key in ("hot", "cold"):
-        own = [r for r in rows if r[1] == key]
-        level, last = 60.0, own[0][2]
-        for i, _, ts, _ in own:
-            level = min(60.0, level + (ts - last).total_seconds())
-            last = ts
-            assert got[i] == (level >= 10.0), i
-            level -= 10.0 if got[i] else 0.0
-    assert 50 < sum(got.values()) < 350
-
-
-def test_take_tokens_ignores_time_going_back():
-    allowed, level, last = bucket.take_tokens(np.array([5, 3, 3]), 10, 2, 10, 9)
-    assert allowed.tolist() == [True, False, False] and (level, last) == (0, 9)
+def _arrive(spark, frame, path, number):
+    frame.coalesce(1).write.mode("append").parquet(path)
+
+
+def test_outcomes_of_two_streams_over_a_restart(spark, tmp_path):
+    """Files of both streams arrive apart; the counters equal the batch after the last file."""
+    fetched, parsed = views.fetches(spark, SF), views.parses(spark, SF)
+    f_path, p_path, base = f"{tmp_path}/f", f"{tmp_path}/p", str(tmp_path)
+    for part in range(4):
+        if part < 3:
+            _arrive(spark, fetched.where(f"page_id % 3 = {part}"), f_path, part)
+        if part > 0:
+            _arrive(spark, parsed.where(f"page_id % 3 = {part - 1}"), p_path, part)
+        else:
+            _arrive(spark, parsed.limit(0), p_path, part)
+        counters = streams.stream_outcomes(read_schema(spark, f_path), read_schema(spark, p_path))
+        streams.run_to_end(streams.update_sink(counters, f"{base}/out", f"{base}/check"))
+    latest = streams.latest_rows(spark, f"{base}/out", ["source_id"])
+    want = aggregates.source_stats(fetched, parsed)
+    assert rows_of(latest, *want.columns) == rows_of(want, *want.columns)
+    sources = views.sources(spark, SF)
+    whole = aggregates.run_stats(sources, fetched, parsed)
+    assert rows_of(streams.run_of(sources, latest), *whole.columns) == rows_of(whole, *whole.columns)
+
+
+REPORTS = {
+    "csv": lambda spark, folders: spark.read.option("header", True).csv(folders).select(F.col("Content").alias("c")),
+    "xml": lambda spark, folders: spark.read.format("xml").schema("contents array<string>").option("rowTag", "result").load(folders).select(F.get("contents", F.lit(0)).alias("c")),
+    "html": lambda spark, folders: spark.read.text(folders).select(F.regexp_extract("value", "<p>(.*)</p>", 1).alias("c")).where("c <> ''"),
+}
+
+
+@pytest.mark.parametrize("format", sorted(REPORTS))
+def test_reports_show_committed_batches_only(spark, tmp_path, monkeypatch, format):
+    """A batch is killed while it is written, and once it is written but not entered. Readers
+    see none of it, and the restart completes it, without a row twice."""
+    from gleanery.sinks import committed
+
+    path, out, check = (f"{tmp_path}/{n}" for n in ("in", "out", "check"))
+    schema = "contents array<string>, errors array<string>"
+    for n in range(3):
+        rows = spark.createDataFrame([([f"b{n}r{k}"], []) for k in range(5)], schema)
+        rows.coalesce(1).write.mode("append").parquet(path)
+
+    def run():
+        sink = streams.stream_sink(read_schema(spark, path), out, check, format=format)
+        streams.run_to_end(sink)
+
+    def seen():
+        found = committed.read_committed(spark, out, lambda folders: REPORTS[format](spark, folders))
+        return sorted(r.c for r in found.collect()) if found is not None else []
+
+    write = committed.WRITERS[format]
+
+    def dies(batch, target, mode):
+        write(batch, target, mode)
+        if target.endswith("/1"):
+            raise RuntimeError("killed")
+
+    monkeypatch.setitem(committed.WRITERS, format, dies)
+    with pytest.raises(Exception, match="killed"):
+        run()
+    assert committed.committed_batches(spark, out) == [0] and len(seen()) == 5
+    assert not list((tmp_path / "out").glob("_staging/*")) and not list((tmp_path / "out").glob("batch=1*"))
+
+    monkeypatch.setitem(committed.WRITERS, format, write)
+    touch = committed._Files.touch
+    monkeypatch.setattr(committed._Files, "touch", lambda self, entry: touch(self, entry) if not entry.endswith("/2") else 1 / 0)
+    with pytest.raises(Exception, match="ZeroDivisionError|division by zero"):
+        run()
+    assert committed.committed_batches(spark, out) == [0, 1] and len(seen()) == 10
+    monkeypatch.setattr(committed._Files, "touch", touch)
+    run()
+    run()
+    assert committed.committed_batches(spark, out) == [0, 1, 2]
+    assert seen() == sorted(f"b{n}r{k}" for n in range(3) for k in range(5))
