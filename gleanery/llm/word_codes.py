@@ -3,7 +3,8 @@
 A public tokenizer whose pre-tokenizer never joins what stands on two sides of white space
 gives a text the ids of its words in a row. Arrow cuts a run of texts into words and
 numbers the distinct ones, the tokenizer encodes those, and numpy lays their ids out
-in the order of the texts. Nothing is kept between runs, so memory is that of a run.
+in the order of the texts. Words that repeat inside a run are remembered for the next runs,
+up to a bound; beyond that memory is that of a run.
 
 Two pre-tokenizers are known; their settings are compared, not guessed. One drops white
 space; of the other a single space belongs to the word after it. Texts of any other
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -51,12 +54,12 @@ _IRREGULAR = (
     r"^[ \n]|[ \n]\z|[ \n][ \n]|[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}"
     r"\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
 )
-# Bytes of text whose words are encoded together.
-RUN_BYTES = 16 << 20
-# Words in one call text, with a special token between them.
+# Bytes of text whose words are encoded together, and words remembered between such runs.
+RUN_BYTES = 8 << 20
+KNOWN_WORDS = 300_000
+# Words in one call text, with a special token between them, and call texts at a time.
 _JOINED = 64
-
-_ENCODERS: dict[str, WordEncoder] = {}
+_CALL_TEXTS = 256
 
 
 def _text(text: str) -> pa.Scalar:
@@ -80,10 +83,18 @@ class WordEncoder:
         plain = [t for t in added.values() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.mark = plain[0].content if len(plain) == len(added) and plain else None
         self.by_words = self.mark is not None and (self.drops or self.leads)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.known_ids, self.known_counts = np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4") for x in found]
+        found: list[np.ndarray] = []
+        for at in range(0, len(texts), _CALL_TEXTS):
+            coded = self.tokenizer.encode_batch_fast(texts[at : at + _CALL_TEXTS], add_special_tokens=False)
+            found += [np.array(x.ids, "<u4") for x in coded]
+        return found
 
     def _codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each has."""
@@ -115,9 +126,10 @@ class WordEncoder:
         words = coded.dictionary.to_pylist()
         if self.leads:
             words = [w[1:] if w[:1] == GLUE else " " + w for w in words]
-        ids, counts = self._codes(words)
         word = coded.indices.to_numpy()
-        first = np.cumsum(counts) - counts
+        ids, counts, places = self._with_known(words, np.bincount(word, minlength=len(words)))
+        first = (np.cumsum(counts) - counts)[places]
+        counts = counts[places]
         length = counts[word]
         end = np.cumsum(length)
         place = np.repeat(first[word] - (end - length), length) + np.arange(int(end[-1]) if len(end) else 0)
@@ -125,6 +137,22 @@ class WordEncoder:
         at = np.concatenate([[0], end])[bounds]
         return np.split(ids[place], at[1:-1]) if len(at) > 1 else []
 
+    def _with_known(self, words: list[str], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and counts of known and new words, and the place of each of `words` there."""
+        get, known = self.known.get, len(self.known)
+        places = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(places < 0)
+        places[new] = known + np.arange(len(new))
+        new_ids, new_counts = self._codes([words[k] for k in new.tolist()])
+        found = np.concatenate([self.known_ids, new_ids]), np.concatenate([self.known_counts, new_counts]), places
+        if known > KNOWN_WORDS:
+            self._forget()
+        again = seen[new] > 1
+        self.known.update(zip((words[k] for k in new[again].tolist()), range(len(self.known), len(self.known) + len(new))))
+        self.known_ids = np.concatenate([self.known_ids, new_ids[np.repeat(again, new_counts)]])
+        self.known_counts = np.concatenate([self.known_counts, new_counts[again]])
+        return found
+
     def encode(self, texts) -> list[np.ndarray]:
         """Ids of each text of an Arrow array; a null text is empty."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -141,9 +169,12 @@ class WordEncoder:
 
 
 def word_encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """The encoder of this process. Functions come to a worker by value and with new globals
+    for each task, so it is kept with the modules, which stay."""
+    held = sys.modules.setdefault("_word_encoders", ModuleType("_word_encoders")).__dict__
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
 
 
 def encoded_runs(texts, path: str):
