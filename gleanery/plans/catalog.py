@@ -15,6 +15,7 @@ from gleanery.functions import dates, text, urls
 from gleanery.functions.registry import Registry
 from gleanery.functions.selectors import first_match
 from gleanery.functions.sql_names import register_all
+from gleanery.functions.table_functions import register_table_functions
 from gleanery.operators import aggregates, extract, fetches, filters, joins, limits, normalize, robots
 from gleanery.plans import flow, views
 from gleanery.session import configure, scratch_dir
@@ -909,6 +910,20 @@ def sql_parse_robots(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def sql_paginate_table(spark: SparkSession, sf: str) -> DataFrame:
+    register_table_functions(spark)
+    views.page_sources(spark, sf).createOrReplaceTempView("glean_sources")
+    return spark.sql("SELECT * FROM glean_paginate_table(TABLE(glean_sources))")
+
+
+@query
+def sql_parse_robots_table(spark: SparkSession, sf: str) -> DataFrame:
+    register_table_functions(spark)
+    views.robots(spark, sf).createOrReplaceTempView("glean_robots")
+    return spark.sql("SELECT * FROM glean_parse_robots_table(TABLE(glean_robots) PARTITION BY host)")
+
+
 # --- whole dataflows ------------------------------------------------------------
 
 

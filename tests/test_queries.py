@@ -63,6 +63,7 @@ def test_entry(spark):
 
 PYTHON_JOBS = {
     "extract_html_items", "dispatch_containers", "extract_selectors", "extract_selector_lists", "filter_keyword_tables",
+    "sql_paginate_table", "sql_parse_robots_table",
 }
 
 

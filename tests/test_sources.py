@@ -1,4 +1,5 @@
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleanery.schemas import SOURCES
@@ -141,3 +142,37 @@ def test_dumps(spark, tmp_path):
     (tmp_path / "a.html").write_text("<p>é</p>")
     row = scan_dumps(spark, str(tmp_path)).select("url", "body").first()
     assert row.url.endswith("a.html") and row.body == "<p>é</p>"
+
+
+def test_table_functions_equal_the_frames(spark):
+    """Odd queries, templates and bodies through both forms; wrong arguments are refused."""
+    from gleanery.functions.table_functions import register_table_functions
+    from gleanery.operators.robots import parse_robots
+    from gleanery.sources.frontier import paginate
+
+    register_table_functions(spark)
+    rule = "struct<enabled:boolean,start_page:int,max_pages:int,param_name:string>"
+    urls = [
+        "https://h/a?b=1&page=9&a=%7E~*+x&bad=%zz&;c=1&d&=e#f?g", "https://h/${page}/x", "https://h", "h?page", None,
+        "https://h/?q=é%20&page=1&page=2", "https://h/?a=1#",
+    ]
+    rules = [(True, 2, 3, "page"), (True, None, None, "p g"), (False, 4, 3, "page"), None, (None, 1, 2, "x"), (True, 0, -1, "page")]
+    rows = [(f"{i}-{k}", u, r) for i, u in enumerate(urls) for k, r in enumerate(rules)]
+    sources = spark.createDataFrame(rows, f"source_id string, url string, pagination {rule}")
+    sources.createOrReplaceTempView("t_sources")
+    found = spark.sql("SELECT * FROM glean_paginate_table(TABLE(t_sources))").collect()
+    assert sorted(map(str, found)) == sorted(map(str, paginate(sources).collect()))
+    bodies = spark.createDataFrame(
+        [
+            ("a", "User-agent: A\nuser-AGENT:b # c\nDisallow: /x\n\nAllow:/y*\nUser-agent: C\nDisallow:\nnoise\nUser-agent: c\r\nDisallow: /z\n"),
+            ("b", "Disallow: /early\nUser-agent:\nDisallow: /n\nUser-agent: 　Q\nSitemap: x\nUser-agent: R\nAllow: /r:1"),
+            ("c", ""), ("d", None),
+        ],
+        "host string, body string",
+    )
+    bodies.createOrReplaceTempView("t_bodies")
+    found = spark.sql("SELECT * FROM glean_parse_robots_table(TABLE(t_bodies) PARTITION BY host)").collect()
+    assert sorted(map(str, found)) == sorted(map(str, parse_robots(bodies).collect())) and found
+    for wrong in ("TABLE(t_bodies)", "'text'"):
+        with pytest.raises(Exception, match="no column|TABLE argument"):
+            spark.sql(f"SELECT * FROM glean_paginate_table({wrong})")
