@@ -19,7 +19,7 @@ reruns agree.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleanery.llm.common import packed, row_identity, table
@@ -157,11 +157,12 @@ FLOWN = "key long, size long, rank long, shard long, shards long, copies int, p
 
 
 def _fly(round_number: int, shard_rows: int):
-    def fly(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        rank, shard, shards = (int(rows[c].iloc[0]) for c in ("rank", "shard", "shards"))
+    def fly(rows: pa.Table) -> pa.Table:
+        # Keys stay in Arrow, where a null beside them leaves their 64 bits as they are.
+        rows = rows.sort_by([("size", "descending"), ("key", "ascending")])
+        rank, shard, shards = (rows.column(c)[0].as_py() for c in ("rank", "shard", "shards"))
         rng = np.random.default_rng([SEED, round_number, rank, shard])
-        sizes, p = rows["size"].to_numpy(), rows["p"].to_numpy(float).copy()
+        sizes, p = rows.column("size").to_numpy(), rows.column("p").to_numpy().copy()
         # The last shard keeps some documents of all sizes for the landing.
         aside = min(RESERVE, len(p) // 2) if shards == 1 else 0
         flying = np.sort(rng.permutation(len(p))[aside:])
@@ -169,11 +170,15 @@ def _fly(round_number: int, shard_rows: int):
         if shards == 1:
             p = landing(sizes, p, rng)
         ended = p >= 1
-        rows["copies"] = rows["copies"] + ended.astype("int32")
-        rows["p"] = np.where(ended, 0.0, p)
-        rows["shards"] = -(-shards * 2 // shard_rows)
-        rows["shard"] = shard % rows["shards"]
-        return rows[[f.split()[0] for f in FLOWN.split(", ")]]
+        left = -(-shards * 2 // shard_rows)
+        changed = {
+            "copies": pa.array(rows.column("copies").to_numpy() + ended.astype(np.int32)),
+            "p": pa.array(np.where(ended, 0.0, p)),
+            "shards": pa.array(np.full(len(p), left, np.int64)),
+            "shard": pa.array(np.full(len(p), shard % left, np.int64)),
+        }
+        names = [f.split()[0] for f in FLOWN.split(", ")]
+        return pa.table({n: changed.get(n, rows.column(n)) for n in names})
 
     return fly
 
@@ -203,7 +208,7 @@ def mix(sized: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     )
     decided, number = None, 0
     while True:
-        flown = now.groupBy("rank", "shard").applyInPandas(_fly(number, shard_rows), FLOWN)
+        flown = now.groupBy("rank", "shard").applyInArrow(_fly(number, shard_rows), FLOWN)
         flown = written(flown, "flown")
         final = flown.where("p = 0")
         decided = final if decided is None else decided.unionByName(final)

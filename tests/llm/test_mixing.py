@@ -67,3 +67,12 @@ def test_documents_are_repeated_with_their_columns(spark, odd_docs, no_docs):
     assert {(r["doc_id"], r["text"]) for r in mixed.collect()} <= known
     assert mix(sized).count() == odd_docs.count()
     assert mix_documents(no_docs).count() == 0 and mix(sized.limit(0)).count() == 0
+
+
+def test_large_keys_beside_null(spark):
+    """A null id in a shard leaves the 64-bit ids beside it as they are."""
+    rows = spark.range(0, 400, 1, 3).select(
+        F.when(F.col("id") % 20 != 0, F.col("id") + 2**60).alias("key"), F.lit("s").alias("source"), (F.col("id") % 50 + 1).alias("size")
+    )
+    got = mix(rows, shard_rows=40).collect()
+    assert sorted((r["key"] or 0) for r in got) == sorted((r["key"] or 0) for r in rows.collect())
