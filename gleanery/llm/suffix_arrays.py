@@ -30,7 +30,7 @@ BLOCK_BYTES = 8 << 20
 # Blocks searched in one pass over the documents.
 BLOCKS_PER_PASS = 4
 
-# Polynomial word hashes modulo 2^64. Words count as equal if these 64 bits are equal.
+# Polynomial word hashes modulo 2^64. They find candidates; every match is compared by bytes.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUE = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -65,6 +65,7 @@ class Words:
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(terms, out=sums[1:])
         self.hash = (sums[ends] - sums[starts]) * _powers(_INVERSE, size)[starts] if size else sums[:0]
+        self.low, self.starts, self.ends = low, starts, ends
         self.first = np.searchsorted(starts, bounds[:-1])
         self.count = np.diff(np.append(self.first, len(starts)))
 
@@ -77,6 +78,7 @@ class Benchmark:
         bounds = np.cumsum([0, *map(len, raw)])
         words = Words(np.frombuffer(b"".join(raw), np.uint8), bounds)
         self.ids = ids
+        self.words = {"low": words.low, "starts": words.starts, "ends": words.ends}
         self.vocabulary = np.unique(words.hash)
         number = (np.searchsorted(self.vocabulary, words.hash) + 1).astype(np.uint32)
         spans = [
@@ -100,6 +102,14 @@ class Benchmark:
         self.known = np.zeros(1 << 16, bool)
         self.known[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
 
+    @staticmethod
+    def of(fields: dict) -> Benchmark:
+        """From its fields: a broadcast carries plain data only, as workers need not have
+        this package."""
+        made = Benchmark.__new__(Benchmark)
+        made.__dict__.update(fields)
+        return made
+
 
 def _as_keys(matrix: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(matrix).view(f"S{4 * WINDOW}").ravel()
@@ -149,8 +159,35 @@ def _search(words: Words, bench: Benchmark):
     right = np.searchsorted(keys, bench.high, "right")
     many = np.maximum(right - left, 0)
     window = np.repeat(np.arange(len(many)), many)
-    within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    return suffixes[left[window] + within], window
+    at = suffixes[left[window] + _within(many)]
+    same = _same_words(words, at, window, bench)
+    return at[same], window[same]
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _same_words(words: Words, at: np.ndarray, window: np.ndarray, bench: Benchmark) -> np.ndarray:
+    """Whether the words of each match are equal byte by byte, not only by hash."""
+    n = bench.length[window]
+    step = _within(n)
+    match = np.repeat(np.arange(len(n)), n)
+    ours, theirs = at[match] + step, bench.at[window][match] + step
+    # A word pair of several matches is compared once.
+    pairs, which = np.unique(ours * len(bench.words["starts"]) + theirs, return_inverse=True)
+    ours, theirs = np.divmod(pairs, max(len(bench.words["starts"]), 1))
+    size = words.ends[ours] - words.starts[ours]
+    equal = size == bench.words["ends"][theirs] - bench.words["starts"][theirs]
+    size = np.where(equal, size, 0)
+    byte = _within(size)
+    pair = np.repeat(np.arange(len(size)), size)
+    differs = words.low[words.starts[ours][pair] + byte] != bench.words["low"][bench.words["starts"][theirs][pair] + byte]
+    equal[pair[differs]] = False
+    good = np.ones(len(at), bool)
+    good[match[~equal[which]]] = False
+    return good
 
 
 def _longest(doc, at, window, bench):
@@ -216,7 +253,7 @@ def _scanner(block):
     )
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bench = block.value
+        bench = Benchmark.of(block.value)
         for texts in batches:
             data, bounds = utf8_buffer(texts)
             rows = []
@@ -234,7 +271,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list[Benchmark]:
     items = benchmark.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
-    )
+    ).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     count = size // BLOCK_BYTES + 1
     block = F.pmod(F.xxhash64("id", "text"), F.lit(count))
@@ -264,7 +301,7 @@ def match_benchmark(
     done: list[Column] = []
     state = None
     for number, bench in enumerate(_blocks(benchmark, item_id, item_text)):
-        found = _scanner(spark.sparkContext.broadcast(bench))(F.col("doc").getField(text))
+        found = _scanner(spark.sparkContext.broadcast(vars(bench)))(F.col("doc").getField(text))
         rows = rows.withColumn(f"block_{number}", found)
         done.append(F.col(f"block_{number}"))
         if len(done) == BLOCKS_PER_PASS:

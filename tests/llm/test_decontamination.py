@@ -86,3 +86,21 @@ def test_shards_do_not_join_documents():
     data = np.frombuffer(b"x aby a b", np.uint8)
     rows = suffix_arrays._scan_run(data, np.array([0, 3, 5, 7, 9]), bench)
     assert [r[0] for r in rows] == [2, 1, 1, 1] and not any(r[1] for r in rows)
+
+
+def _thue_morse(letter, other, n):
+    word = letter
+    while len(word) < n:
+        word += word.translate(str.maketrans({letter: other, other: letter}))
+    return word
+
+
+def test_words_of_equal_hash_are_not_equal(spark):
+    """Words that collide under every polynomial hash modulo 2^64."""
+    one, two = _thue_morse("a", "b", 2048), _thue_morse("b", "a", 2048)
+    words = suffix_arrays.Words(np.frombuffer(f"{one} {two}".encode(), np.uint8), np.array([0, 4097]))
+    assert words.hash[0] == words.hash[1]
+    bench = spark.createDataFrame([("x", one), ("y", "five words and " + one)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"is {two} here"), (2, f"is {one} here"), (3, f"five words and {two}"), (4, f"FIVE words, and {one}!")], "doc_id long, text string")
+    found = {r["doc"]["doc_id"]: (r["hits"], sorted(r["items"])) for r in match_benchmark(docs, bench).collect()}
+    assert {k: items for k, (_, items) in found.items()} == {1: [], 2: ["x"], 3: [], 4: ["x", "y"]}
