@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,12 +51,12 @@ def features_of(text: str) -> list[float]:
     for word in words:
         counts[word] = counts.get(word, 0) + 1
     letters = "".join(words)
-    stripped = text.translate(_LETTERS_OUT)
-    marks = sum(map(stripped.count, set(stripped))) if stripped else 0
+    # Letters, digits and the marks that are written on letters, in any script, are not counted.
+    marks = sum(text.count(c) for c in set(text) if not (c.isalnum() or c.isspace() or unicodedata.category(c)[0] == "M"))
     same = sum(a == b for a, b in zip(words, words[1:]))
     # Distinct words fall with length in any text; the root makes texts comparable.
     distinct = len(counts) / n
-    upper = sum(map(letters.count, _UPPER & set(letters)))
+    upper = sum(map(letters.count, filter(str.isupper, set(letters))))
     return [
         math.log1p(n),
         len(letters) / n,
@@ -77,10 +78,6 @@ def features_of(text: str) -> list[float]:
     ]
 
 
-_LETTERS_OUT = {c: None for c in range(0x250) if chr(c).isalnum() or chr(c).isspace()}
-_UPPER = {chr(c) for c in range(0x250) if chr(c).isupper()}
-
-
 @F.arrow_udf(ArrayType(DoubleType()))
 def quality_features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:

@@ -45,13 +45,18 @@ SECOND_PERSON = frozenset(
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 
 _WORD = re.compile(r"[^\W_]+")
-_TRICK = re.compile(r"[^\W\d_]+(?:[0-9@$!|*._\-]+[^\W\d_]+)+[0-9@$!|]*|[0-9@$!|]+[^\W\d_]+(?:[0-9@$!|*._\-]+[^\W\d_]+)*")
+# A start inside a run of letters or signs gives what the start of the run gives, so only that
+# is tried, and runs are not given back: any text takes linear time.
+_TRICK = re.compile(
+    r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!|*._\-]++[^\W\d_]++)+[0-9@$!|]*+"
+    r"|(?<![0-9@$!|])[0-9@$!|]++[^\W\d_]++(?:[0-9@$!|*._\-]++[^\W\d_]++)*"
+)
 _SPACED = re.compile(r"(?<!\S)(?:\w[ .\-_]){3,}\w(?!\S)")
 _SEPARATORS = re.compile(r"[*._\-\s]+")
 
 FEATURES = [
     "hits", "hit_share", "weight_sum", "weight_most", "distinct_hits", "near_second_person",
-    "second_person_share", "capitals", "capital_words", "marks", "shouts", "tricks", "trick_hits", "log_words",
+    "second_person_share", "capitals", "sentence_ends", "marks", "shouts", "tricks", "trick_hits", "log_words",
 ]
 
 
@@ -107,7 +112,7 @@ def features_of(text: str, lexicon: Lexicon) -> list[float]:
             tricks += 1
             trick_hits += word not in plain and weight(word) > 0
     letters = sum(map(len, words)) or 1
-    upper = len(text) - sum(map(text.count, set(text) - _UPPER)) if not text.islower() else 0
+    upper = sum(map(text.count, filter(str.isupper, set(text))))
     return [
         float(len(hits)),
         len(hits) / n,
@@ -126,7 +131,6 @@ def features_of(text: str, lexicon: Lexicon) -> list[float]:
     ]
 
 
-_UPPER = {chr(c) for c in range(0x250) if chr(c).isupper()}
 _SIGN = re.compile(r"[^\W\d_][0-9@$!|*._\-]+[^\W\d_]|[0-9@$!|][^\W\d_]|(?<!\S)\w[ .\-_]\w[ .\-_]\w[ .\-_]")
 
 

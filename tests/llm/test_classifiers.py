@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +104,36 @@ def test_planted_toxic_documents_go(spark):
     assert kept.where("doc_id >= 1000000").count() <= 2
     clean = labels.where("toxic = 0").join(docs, "doc_id")
     assert kept.join(clean.select("doc_id"), "doc_id").count() >= 0.98 * clean.count()
+
+
+# The pattern as it was before runs of letters and signs were taken whole.
+SLOW_TRICK = re.compile(
+    r"[^\W\d_]+(?:[0-9@$!|*._\-]+[^\W\d_]+)+[0-9@$!|]*|[0-9@$!|]+[^\W\d_]+(?:[0-9@$!|*._\-]+[^\W\d_]+)*"
+)
+
+
+def test_tricks_are_found_as_before():
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choices("abé1@$!|*._- \n0", k=rng.randrange(40)))
+        assert toxicity._TRICK.findall(text) == SLOW_TRICK.findall(text), text
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6 + " x1y", "1" * 10**6 + " x1y", "a." * 5 * 10**5 + " x1y", ".1" * 5 * 10**5 + "a", "a" + "." * 10**6 + " x1y"])
+def test_long_words_take_linear_time(text):
+    began = time.process_time()
+    features_of(text, Lexicon({"bad": 1.0}))
+    assert time.process_time() - began < 3
+
+
+def test_letters_of_other_scripts_are_no_marks():
+    place = preference.FEATURES.index("marks")
+    english = "The boat came in late, and everyone on the pier was glad to see it."
+    russian = "Лодка пришла поздно, и все на причале были рады её увидеть."
+    greek = "Η βάρκα ήρθε αργά, και όλοι στην προβλήτα χάρηκαν που την είδαν."
+    hindi = "नाव देर से आई, और घाट पर सब उसे देखकर खुश हुए."
+    share = preference.features_of(english)[place]
+    for text in (russian, greek, hindi):
+        assert abs(preference.features_of(text)[place] - share) < 0.03
+    capitals = preference.FEATURES.index("capitals")
+    assert preference.features_of("ЛОДКА ПРИШЛА")[capitals] > 0.9
