@@ -5,11 +5,13 @@ has depends on the version block at the head of the file: version 1 gives URL, I
 date, type and length; version 2 adds result code, checksum, location, offset and file
 name. The converter reads the line by its version, takes the payload by its length,
 and makes a WARC/1.1 record of it: identifier (a name-based UUID, so that reruns agree),
-timestamp, type and digests. Equal payloads become one response and revisits of it.
+timestamp, type and digests. The payload of an http address begins with the status line
+and headers of the answer; these are split off, keep their status and type, and are not
+part of the payload digest. Equal payloads become one response and revisits of it.
 
-WARC files are written by Spark's text writer with the record separator as line
-separator, so a part file is a plain gzip-compressed WARC; they are read as whole files
-and parsed by declared lengths.
+WARC files are written by Spark's text writer, one row of joined records to a file, with
+the record separator as line separator. So a part file is a plain gzip-compressed WARC of
+bounded size; it is read as a whole file and parsed by declared lengths.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from http import HTTPStatus
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,8 +40,8 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
-# Uncompressed bytes per WARC file, by the mean size of the records.
-FILE_BYTES = 64 << 20
+# Uncompressed bytes after which a WARC file ends; it is larger by one record at most.
+FILE_BYTES = 32 << 20
 NO_ADDRESS = "about:blank"
 
 
@@ -51,6 +54,17 @@ class ArcRecord:
     code: str
     payload: bytes
 
+    def answer(self) -> tuple[bytes | None, bytes]:
+        """The head of the answer, if the payload has one, with CRLF line ends, and the body."""
+        status = _STATUS.match(self.payload) if self.url[:7].lower() in ("http://", "https:/") else None
+        end = status and re.compile(rb"\r?\n\r?\n").search(self.payload)
+        if not end:
+            return None, self.payload
+        return b"\r\n".join(self.payload[: end.start()].splitlines()), self.payload[end.end() :]
+
+
+_STATUS = re.compile(rb"HTTP/[0-9]+(?:\.[0-9]+)? [0-9]{3}[^0-9]")
+
 
 def arc_header(line: bytes, version: int) -> dict[str, str]:
     """The fields of a header line. Fields are split from the right, so that an address
@@ -63,8 +77,13 @@ def arc_header(line: bytes, version: int) -> dict[str, str]:
 
 
 def parse_arc(stream: io.BufferedIOBase, version: int = 1) -> Iterator[ArcRecord]:
-    """All records of an ARC stream, uncompressed. A version block sets the version; it is
-    not a record itself. Declared lengths are trusted; a short payload is an error."""
+    """All records of an ARC stream, uncompressed."""
+    return (record for record, _, _ in arc_parts(stream, version))
+
+
+def arc_parts(stream: io.BufferedIOBase, version: int = 1) -> Iterator[tuple[ArcRecord, bytes, int]]:
+    """All records with their header lines and versions. A version block sets the version; it
+    is not a record itself. Declared lengths are trusted; a short payload is an error."""
     while line := stream.readline():
         if not line.strip():
             continue
@@ -77,7 +96,7 @@ def parse_arc(stream: io.BufferedIOBase, version: int = 1) -> Iterator[ArcRecord
             version = int(payload.split(b" ", 1)[0])
             continue
         code = fields.get("code", "200")
-        yield ArcRecord(fields["url"], fields["ip"], fields["date"], fields["type"], code, payload)
+        yield ArcRecord(fields["url"], fields["ip"], fields["date"], fields["type"], code, payload), line, version
 
 
 def warc_date(date: str) -> str:
@@ -87,6 +106,9 @@ def warc_date(date: str) -> str:
     return f"{full[:4]}-{full[4:6]}-{full[6:8]}T{full[8:10]}:{full[10:12]}:{full[12:14]}Z"
 
 
+_CODES = {str(int(s)) for s in HTTPStatus}
+
+
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -99,12 +121,12 @@ def record_id(page_id: int | None, digest: str) -> str:
 
 def warc_record(arc: ArcRecord, page_id: int | None, first: int | None) -> bytes:
     """A response, or a revisit of page `first`, without the separator after it."""
-    digest = base32_sha1(arc.payload)
-    head = (
-        f"HTTP/1.1 {arc.code} OK\r\nContent-Type: {arc.mime}\r\n"
-        f"Content-Length: {len(arc.payload)}\r\n\r\n"
-    ).encode()
-    block = head if first is not None else head + arc.payload
+    head, body = arc.answer()
+    digest = base32_sha1(body)
+    if head is None:
+        reason = HTTPStatus(int(arc.code)).phrase if arc.code in _CODES else ""
+        head = f"HTTP/1.1 {arc.code} {reason}\r\nContent-Type: {arc.mime}\r\nContent-Length: {len(body)}".encode()
+    block = head + END if first is not None else head + END + body
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if first is None else 'revisit'}",
@@ -116,6 +138,7 @@ def warc_record(arc: ArcRecord, page_id: int | None, first: int | None) -> bytes
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
+        f"X-Payload-Length: {len(body)}",
     ]
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
@@ -172,26 +195,29 @@ def _opened(raw: bytes) -> io.BufferedIOBase:
 
 
 def as_arc(pages: DataFrame, date: str = "20000101000000", ip: str = "0.0.0.0") -> DataFrame:
-    """Pages as version-1 ARC records: page_id, digest (SHA-1 of the payload, hex), arc.
+    """Pages as version-1 ARC records: page_id, digest (SHA-1 of the body, hex), version, arc.
 
+    The payload is an answer, as archives hold it: of an http address a head and the html.
     White space and control characters in an address become %20; a null address is
-    about:blank, a null body an empty payload. Everything is done by column functions.
+    about:blank, a null html an empty body. Everything is done by column functions.
     """
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     url = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20"), F.lit(NO_ADDRESS))
+    head = F.when(F.rlike(url, F.lit("(?i)^https?:/")), F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"))
+    payload = F.concat(F.coalesce(head, F.lit("")).cast("binary"), body)
     size = F.octet_length(payload).cast("string")
     line = F.concat_ws(" ", url, F.lit(ip), F.lit(date), F.lit("text/html"), size)
     record = F.concat(F.concat(line, F.lit("\n")).cast("binary"), payload)
-    return pages.select("page_id", F.sha1(payload).alias("digest"), record.alias("arc"))
+    return pages.select("page_id", F.sha1(body).alias("digest"), F.lit(1).alias("version"), record.alias("arc"))
 
 
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.schema([("record", pa.binary())])
     for rows in batches:
         found, size = [], 0
-        columns = [rows.column(c) for c in ("page_id", "first", "arc")]
-        for page_id, first, raw in zip(*columns):
-            for arc in parse_arc(io.BytesIO(raw.as_py())):
+        columns = [rows.column(c) for c in ("page_id", "first", "version", "arc")]
+        for page_id, first, version, raw in zip(*columns):
+            for arc in parse_arc(io.BytesIO(raw.as_py()), version.as_py()):
                 found.append(warc_record(arc, page_id.as_py(), first.as_py()))
                 size += len(found[-1])
             if size > 16 << 20:
@@ -200,10 +226,30 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], schema=kind)
 
 
+def _joiner(file_bytes: int):
+    """Records one after another, in rows that end behind `file_bytes`."""
+    kind = pa.schema([("records", pa.binary())])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[bytes] = []
+        size = 0
+        for rows in batches:
+            for record in rows.column("record"):
+                found.append(record.as_py())
+                size += len(found[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([END.join(found)], pa.binary())], schema=kind)
+                    found, size = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([END.join(found)], pa.binary())], schema=kind)
+
+    return join
+
+
 def convert(arcs: DataFrame) -> DataFrame:
     """WARC records (`record`, without separators) of ARC records.
 
-    `arcs` has page_id, digest and arc. Of records with equal digests those with the least
+    `arcs` has page_id, digest, version and arc. Of records with equal digests those with the least
     page_id are responses and the others revisits of it. Rows without a page_id are
     revisits if their payload has a row with one, else responses.
     """
@@ -211,14 +257,17 @@ def convert(arcs: DataFrame) -> DataFrame:
     same = written(same.where("n > 1 and least is not null").select("digest", "least"), "payloads")
     rows = lookup_join(arcs, same, "digest", "left")
     first = F.when(F.col("page_id").eqNullSafe(F.col("least")), F.lit(None)).otherwise(F.col("least"))
-    return rows.select("page_id", first.alias("first"), "arc").mapInArrow(_convert, "record binary")
+    return rows.select("page_id", first.alias("first"), "version", "arc").mapInArrow(_convert, "record binary")
 
 
-def write_warc(records: DataFrame, path: str, mean_bytes: int) -> None:
-    """Write records as gzip-compressed WARC files of about FILE_BYTES before compression."""
-    writer = records.select(F.col("record").cast("string").alias("value")).write
+def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write the records of `convert` as gzip-compressed WARC files, cut by the bytes of the
+    records themselves: a file is longer than `file_bytes`, uncompressed, by one record at
+    most."""
+    joined = records.mapInArrow(_joiner(file_bytes), "records binary")
+    writer = joined.select(F.col("records").cast("string").alias("value")).write
     writer = writer.option("lineSep", END.decode()).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", max(1, FILE_BYTES // max(mean_bytes, 1))).text(path)
+    writer.option("maxRecordsPerFile", 1).text(path)
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
@@ -232,8 +281,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw in rows.column("content"):
             found = []
             for headers, block in parse_warc(_opened(raw.as_py())):
-                head, _, payload = block.partition(END)
-                declared = int(re.search(rb"\r\nContent-Length: ([0-9]+)", head)[1])
+                _, _, payload = block.partition(END)
+                declared = int(headers["x-payload-length"])
                 digest = headers["warc-payload-digest"].removeprefix("sha1:")
                 kind = headers["warc-type"]
                 if kind == "response" and (len(payload) != declared or base32_sha1(payload) != digest):
@@ -265,14 +314,39 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, fields)
 
 
+def arc_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The records of whole ARC files as `convert` takes them: page_id, digest, version, arc.
+
+    A record's number is a digest of its file and place in it, so reruns agree.
+    """
+    fields = "page_id long, digest string, version int, arc binary"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.binary()]
+        schema = pa.schema(list(zip(("page_id", "digest", "version", "arc"), kinds)))
+        for rows in batches:
+            for file, raw in zip(rows.column("path").to_pylist(), rows.column("content")):
+                for place, (arc, line, version) in enumerate(arc_parts(_opened(raw.as_py()))):
+                    number = int.from_bytes(hashlib.sha1(f"{file}:{place}".encode()).digest()[:8], "big", signed=True)
+                    digest = hashlib.sha1(arc.answer()[1]).hexdigest()
+                    row = dict(zip(schema.names, (number, digest, version, line + arc.payload)))
+                    yield pa.RecordBatch.from_pylist([row], schema)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, fields)
+
+
+def convert_files(spark: SparkSession, source: str, target: str) -> None:
+    """Convert the ARC files below `source` to WARC files in `target`."""
+    write_warc(convert(arc_rows(spark, source)), target)
+
+
 def archived_pages(pages: DataFrame) -> DataFrame:
     """Convert pages to WARC files and read these back: one row per page, see READ.
 
     Page ids may be null or repeat; each row is a record. An empty table gives no rows.
     """
     path = scratch_dir(pages.sparkSession, "warc")
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
-    write_warc(convert(as_arc(pages)), path, int(mean) + 700)
+    write_warc(convert(as_arc(pages)), path)
     return read_warc(pages.sparkSession, path)
 
 

@@ -16,6 +16,7 @@ to read pages that are built otherwise.
 from __future__ import annotations
 
 import math
+import os
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -35,15 +36,15 @@ from gleanery.session import written
 SAMPLE_PAGES = 128
 PAGE_BLOCKS = 1024
 PAGE_RUNS = 4
-COPIES = 3
+COPIES = 12
 HIDDEN = 16
-EPOCHS = 20
+EPOCHS = 24
 BATCH = 64
 RATE = 0.015
 SEED = 10
-PATH_BINS, TAG_BINS, WORD_BINS = 96, 16, 32
+# Bins of names that are not listed below, of tags and of words.
+OTHER_BINS, TAG_BINS, WORD_BINS = 32, 16, 32
 MEASURES = 6
-WIDTH = PATH_BINS + TAG_BINS + WORD_BINS + MEASURES
 # Blocks (with filling) that go through the network at once.
 STEP_BLOCKS = 20_000
 
@@ -65,6 +66,16 @@ _SIDE_NAMES -= {"div", "section", "ul", "ol", ".list"}
 _TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre", "dd", "dt", "figcaption"}
 
 
+# Each listed name has a bin of its own, so that no other name passes for it.
+_LISTED = sorted(
+    {n for names in (*MAIN, *(o for kind in SIDE.values() for o in kind)) for n in names}
+    | _MAIN_NAMES | _SIDE_NAMES | _TEXT_TAGS | {"html", "body", "div", "section", "ul", "ol", "li", "table", "tbody", "tr", "th", "dl"}
+)
+_LISTED_BINS = {name: k for k, name in enumerate(_LISTED)}
+PATH_BINS = len(_LISTED) + OTHER_BINS
+WIDTH = PATH_BINS + TAG_BINS + WORD_BINS + MEASURES
+
+
 @dataclass
 class Block:
     """What the network learns of a block: its path, and its words and measures as numbers."""
@@ -109,7 +120,8 @@ class Vectors:
         if known is None:
             known = np.zeros(PATH_BINS + TAG_BINS, np.float32)
             for name in path:
-                known[_bin(name, PATH_BINS)] = 1
+                place = _LISTED_BINS.get(name)
+                known[len(_LISTED) + _bin(name, OTHER_BINS) if place is None else place] = 1
             own = [n for n in path if n[0] != "."][-1:] or ["-"]
             known[PATH_BINS + _bin(own[0], TAG_BINS)] = 1
             if len(self.paths) > 50_000:
@@ -169,6 +181,16 @@ class Labeller:
             self.p[f"b{way}"][HIDDEN : 2 * HIDDEN] = 1  # remember at first
         self.p |= {"V": drawn(2 * HIDDEN, 1), "c": np.zeros(1, np.float32)}
 
+    @staticmethod
+    def of(weights: dict[str, np.ndarray] | None) -> Labeller | None:
+        """From its weights: a broadcast carries plain data only, as workers need not have
+        this package."""
+        if weights is None:
+            return None
+        made = Labeller.__new__(Labeller)
+        made.p = weights
+        return made
+
     def _run(self, x, mask, way, keep):
         """States of one direction; x is (blocks, pages, WIDTH), filled where mask is 0."""
         steps, pages = mask.shape
@@ -226,12 +248,14 @@ class Labeller:
         return grads
 
     def fit(self, pages: list[np.ndarray], labels: list[list[int]], epochs: int = EPOCHS) -> Labeller:
-        """Learn by Adam over batches of pages of like length."""
+        """Learn by Adam over batches of pages of like length; the weights of the last third
+        of the steps are averaged."""
         rng = np.random.default_rng(SEED)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         order = sorted(range(len(pages)), key=lambda k: len(pages[k]))
         batches = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
-        step = 0
+        step, steps, kept = 0, epochs * len(batches), 0
+        mean = {name: np.zeros_like(value) for name, value in self.p.items()}
         for _ in range(epochs):
             for b in rng.permutation(len(batches)):
                 x, mask = filled([pages[k] for k in batches[b]])
@@ -246,6 +270,11 @@ class Labeller:
                     second[:] = 0.999 * second + 0.001 * grad**2
                     scale = math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                     self.p[name] -= RATE * scale * first / (np.sqrt(second) + 1e-8)
+                if 3 * step > 2 * steps:
+                    kept += 1
+                    for name, value in self.p.items():
+                        mean[name] += (value - mean[name]) / kept
+        self.p = mean if kept else self.p
         return self
 
 
@@ -273,28 +302,58 @@ def _renamed(path: tuple[str, ...], names: dict[str, tuple[str, ...]]) -> tuple[
     return tuple(out)
 
 
+def _invented(rng) -> tuple[str, ...]:
+    """A container whose name says nothing, as pages have: other features must tell."""
+    tag = ("div", "section", "div", "aside")[int(rng.integers(4))]
+    return (tag, f".x{int(rng.integers(1000))}")
+
+
+def _common_path(blocks: list[tuple[Block, int]]) -> tuple[str, ...]:
+    """The path that all blocks of main text share."""
+    paths = [block.path for block, y in blocks if y]
+    shared = os.path.commonprefix(paths) if paths else ()
+    # A text element of a page with a single block is not a container.
+    return tuple(shared[:-1] if len(shared) > 1 and shared[-1] in _TEXT_TAGS else shared)
+
+
 def varied(page: list[Block], labels: list[int], texts: list[np.ndarray], rng) -> tuple[list[Block], list[int]]:
-    """A copy of a page with other container names and further side blocks."""
+    """A copy of a page with other container names and further side blocks, around the main
+    text and inside its container, under known names and under names that say nothing."""
 
     def draw(options):
         return options[int(rng.integers(len(options)))]
 
-    names = {"article": draw(MAIN), "main": draw(MAIN), "nav": draw(SIDE["nav"]), "footer": draw(SIDE["footer"])}
-    names |= {".ad": draw(SIDE["ad"]), "aside": draw(SIDE["aside"]), "header": draw(SIDE["header"])}
+    def container(options, unnamed=0.4):
+        return _invented(rng) if rng.random() < unnamed else draw(options)
+
+    main_name = container(MAIN, 0.25)
+    names = {"article": main_name, "main": main_name, "nav": draw(SIDE["nav"]), "footer": draw(SIDE["footer"])}
+    names |= {".ad": container(SIDE["ad"]), "aside": draw(SIDE["aside"]), "header": draw(SIDE["header"])}
     blocks = [(Block(_renamed(b.path, names), b.words, b.linked), y) for b, y in zip(page, labels)]
+    inside = _common_path(blocks)
     for kind in SIDE:
         if rng.random() < 0.35:
-            head = ("html", "body", *draw(SIDE[kind]))
-            many = int(rng.integers(1, 5))
-            inner = [draw([("p",), ("li",), ("div",), ()]) for _ in range(many)]
-            linked = float(kind in ("nav", "aside") and rng.random() < 0.7)
-            new = [(Block((*head, *own), draw(texts), linked), 0) for own in inner]
             main = [k for k, (_, y) in enumerate(blocks) if y]
-            # Comments and the like stand after the main text, headers before it, adverts anywhere.
-            spots = {"header": 0, "nav": 0, "notice": draw([0, len(blocks)])}
-            at = spots.get(kind, draw([main[0], main[-1] + 1, draw(main)]) if main and kind == "ad" else len(blocks))
-            if kind == "comments" and main:
+            within = bool(main) and kind not in ("header", "footer") and rng.random() < 0.5
+            own = container(SIDE[kind])
+            if rng.random() < 0.4:
+                own = (*own, *_invented(rng))
+            head = (*(inside if within else ("html", "body")), *own)
+            many = int(rng.integers(1, 6))
+            inner = [draw([("p",), ("p",), ("li",), ("div",), ("h3",), ()]) for _ in range(many)]
+            linked = float(kind in ("nav", "aside") and rng.random() < 0.7)
+            new = [(Block((*head, *tail), draw(texts), linked), 0) for tail in inner]
+            # Comments and forms stand after the main text, headers before it, adverts anywhere.
+            if not main:
+                at = len(blocks)
+            elif kind in ("comments", "form"):
                 at = main[-1] + 1
+            elif kind in ("header", "nav"):
+                at = main[0] if within else draw([0, main[0]])
+            elif kind == "ad" or within:
+                at = draw([main[-1] + 1, draw(main) + 1])
+            else:
+                at = draw([main[0], len(blocks), main[-1] + 1]) if kind != "footer" else len(blocks)
             blocks[at:at] = new
     return [b for b, _ in blocks], [y for _, y in blocks]
 
@@ -375,7 +434,7 @@ def main_texts(htmls: list[str], labeller: Labeller | None, vectors: Vectors) ->
 
 def _extractor(shared):
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        labeller, vectors = shared.value, Vectors()
+        labeller, vectors = Labeller.of(shared.value), Vectors()
         for pages in batches:
             texts = pages.to_pylist()
             found: list[str] = []
@@ -403,7 +462,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     sample = sample.select("page_id", "digest", sampled_runs("html").alias("runs"))
     found = sorted(sample.collect(), key=lambda r: (r["page_id"] is not None, r["page_id"], r["digest"]))
     labeller = learn([run for r in found for run in _received(r["runs"])])
-    text = _extractor(spark.sparkContext.broadcast(labeller))("html")
+    text = _extractor(spark.sparkContext.broadcast(labeller and labeller.p))("html")
     return pages.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -34,7 +34,7 @@ SEGMENTS = (0.2, 0.4, 0.6, 0.7, 0.8, 0.9, 1.0)
 # A search stops when at most this share of a shard is possible.
 FEW = 0.05
 
-SHARD = "shard int, n int, width int, ids binary, vectors binary, levels binary, rests binary"
+SHARD = "shard int, n int, width int, ids binary, vectors binary, starts binary, rows binary, values binary, rests binary"
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -54,15 +54,21 @@ def _matrix(rows: pd.Series) -> np.ndarray:
 
 
 def index_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    """One shard: quantised impact level of each posting (its segment), and for each
-    segment the norm of what is left of each vector after it."""
+    """One shard: the postings (vector, value) of each segment, component by component, and for
+    each segment the norm of what is left of each vector after it.
+
+    `starts` has the first posting of each component of each segment, in order, and the end.
+    """
     rows = rows.sort_values("vec_id", kind="stable")
     vectors = _matrix(rows["vector"])
     size = np.abs(vectors)
     bounds = np.quantile(size, [1 - s for s in SEGMENTS[:-1]]) if size.size else np.zeros(len(SEGMENTS) - 1)
-    levels = sum((size < b).astype(np.int8) for b in bounds) if size.size else size.astype(np.int8)
+    levels = sum(((size < b).astype(np.int8) for b in bounds), np.zeros(size.shape, np.int8))
     squares = size.astype(float) ** 2
     rests = [np.sqrt((squares * (levels > g)).sum(axis=1)) for g in range(len(SEGMENTS))]
+    postings = [np.nonzero(((levels == g) & (vectors != 0)).T) for g in range(len(SEGMENTS))]
+    component, row = (np.concatenate(parts) for parts in zip(*postings))
+    counts = [np.bincount(d, minlength=vectors.shape[1]) for d, _ in postings]
     return pd.DataFrame(
         {
             "shard": [int(rows["shard"].iloc[0])],
@@ -70,7 +76,9 @@ def index_shard(rows: pd.DataFrame) -> pd.DataFrame:
             "width": [vectors.shape[1]],
             "ids": [rows["vec_id"].to_numpy("<i8").tobytes()],
             "vectors": [vectors.astype("<i8").tobytes()],
-            "levels": [levels.astype(np.int8).tobytes()],
+            "starts": [np.cumsum([0, *np.concatenate(counts)]).astype("<i4").tobytes()],
+            "rows": [row.astype("<i4").tobytes()],
+            "values": [vectors[row, component].astype("<f8").tobytes()],
             "rests": [np.array(rests, "<f8").tobytes()],
         }
     )
@@ -79,41 +87,50 @@ def index_shard(rows: pd.DataFrame) -> pd.DataFrame:
 class Shard:
     def __init__(self, row: dict):
         self.ids = np.frombuffer(row["ids"], "<i8")
-        shape = (row["n"], row["width"])
-        self.vectors = np.frombuffer(row["vectors"], "<i8").reshape(shape)
-        levels = np.frombuffer(row["levels"], np.int8).reshape(shape)
-        self.segments = [np.where(levels == g, self.vectors, 0).astype(float) for g in range(len(SEGMENTS))]
+        self.width = row["width"]
+        self.vectors = np.frombuffer(row["vectors"], "<i8").reshape(row["n"], self.width)
+        self.starts = np.frombuffer(row["starts"], "<i4").tolist()
+        self.rows, self.values = np.frombuffer(row["rows"], "<i4"), np.frombuffer(row["values"], "<f8")
         self.rests = np.frombuffer(row["rests"], "<f8").reshape(len(SEGMENTS), row["n"])
         self.norms = np.sqrt((self.vectors.astype(float) ** 2).sum(axis=1))
 
+    def add_segment(self, g: int, queries: np.ndarray, scores: np.ndarray) -> None:
+        """Add a segment to the scores (a row per vector, a column per query): each posting
+        is met once. A component has a vector at most once, so no two postings collide."""
+        for d in range(queries.shape[1]):
+            at, end = self.starts[g * self.width + d : g * self.width + d + 2]
+            if at < end:
+                scores[self.rows[at:end]] += self.values[at:end, None] * queries[:, d]
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         """(query, vector, score) of the k best of this shard, for each query."""
-        width = min(queries.shape[1], self.vectors.shape[1])
+        width = min(queries.shape[1], self.width)
         queries = queries[:, :width]
-        exact = queries.astype(float)
-        norms = np.sqrt((exact**2).sum(axis=1))
+        asked = queries.astype(float)
+        norms = np.sqrt((asked**2).sum(axis=1))
         # Room for rounding of the float sums, far below one unit for usual vectors.
-        slack = 1e-9 * norms[:, None] * self.norms[None, :] + 1e-6
-        scores = np.zeros((len(queries), len(self.ids)))
-        own = query_ids[:, None] == self.ids[None, :]
+        slack = 1e-9 * self.norms[:, None] * norms[None, :] + 1e-6
+        scores = np.zeros((len(self.ids), len(queries)))
+        own = self.ids[:, None] == query_ids[None, :]
         todo = np.arange(len(queries))
         rows, columns = [], []
         few = max(4 * k, int(FEW * len(self.ids)))
-        for g, segment in enumerate(self.segments):
-            scores[todo] += exact[todo] @ segment[:, :width].T
-            last = g == len(self.segments) - 1
+        best = len(self.ids) - k
+        for g in range(len(SEGMENTS)):
+            self.add_segment(g, asked[todo], scores)
+            last = g == len(SEGMENTS) - 1
             if not last and SEGMENTS[g] < 0.6:
                 continue
-            bound = norms[todo, None] * self.rests[g][None, :] + slack[todo]
-            sure = np.where(own[todo], -np.inf, scores[todo] - bound)
-            best = len(self.ids) - k
-            least = np.partition(sure, best, axis=1)[:, best] if best > 0 else np.full(len(todo), -np.inf)
-            possible = (scores[todo] + bound >= least[:, None]) & ~own[todo]
-            proven = np.full(len(todo), True) if last else possible.sum(axis=1) <= few
-            q, v = np.nonzero(possible & proven[:, None])
+            bound = self.rests[g][:, None] * norms[None, todo] + slack[:, todo]
+            sure = np.where(own[:, todo], -np.inf, scores - bound)
+            least = np.partition(sure, best, axis=0)[best] if best > 0 else np.full(len(todo), -np.inf)
+            possible = (scores + bound >= least[None, :]) & ~own[:, todo]
+            proven = np.full(len(todo), True) if last else possible.sum(axis=0) <= few
+            v, q = np.nonzero(possible & proven[None, :])
             rows.append(todo[q])
             columns.append(v)
-            todo = todo[~proven]
+            # Queries that are answered leave; the others go on to the next segment.
+            todo, scores = todo[~proven], np.ascontiguousarray(scores[:, ~proven])
             if not len(todo):
                 break
         q, v = np.concatenate(rows), np.concatenate(columns)
@@ -129,16 +146,19 @@ class Shard:
 
 
 def _searcher(k: int):
+    """A stream of shards, each before the blocks of queries that meet it; a shard without
+    vectors is not in it."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, shard = None, None
+        shard, number = None, None
         for rows in batches:
             for at in range(rows.num_rows):
-                row = {name: rows.column(name)[at].as_py() for name in rows.schema.names if name not in _PAYLOAD}
-                if row["shard"] != held:
-                    shard = Shard(row | {name: rows.column(name)[at].as_py() for name in _PAYLOAD})
-                    held = row["shard"]
+                row = {name: rows.column(name)[at].as_py() for name in rows.schema.names}
+                if row["query_ids"] is None:
+                    shard, number = Shard(row), row["shard"]
+                if row["query_ids"] is None or row["shard"] != number:
+                    continue
                 ids = np.frombuffer(row["query_ids"], "<i8")
                 queries = np.frombuffer(row["queries"], "<i8").reshape(len(ids), -1)
                 found = shard.search(ids, queries, k)
@@ -147,9 +167,6 @@ def _searcher(k: int):
     return search
 
 
-_PAYLOAD = ("ids", "vectors", "levels", "rests")
-
-
 def _block(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("vec_id", kind="stable")
     return pd.DataFrame(
@@ -184,10 +201,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     blocks = _dealt(asked, "block", questions, BLOCK_QUERIES).groupBy("block").applyInPandas(
         _block, "block int, query_ids binary, queries binary"
     )
-    # Every block meets every shard: the small side is repeated, the index is moved once.
-    shards = F.explode(F.sequence(F.lit(0), F.lit(count // SHARD_ROWS)))
-    pairs = index.join(blocks.select("query_ids", "queries", shards.alias("shard")).hint("merge"), "shard")
-    found = pairs.mapInArrow(_searcher(k), FOUND)
+    # Every block meets every shard: the blocks are repeated, a shard is sent once, before them.
+    every = F.explode(F.sequence(F.lit(0), F.lit(count // SHARD_ROWS))).alias("shard")
+    asking = blocks.select("query_ids", "queries", every)
+    met = index.unionByName(asking, allowMissingColumns=True).repartition("shard")
+    met = met.sortWithinPartitions("shard", F.col("query_ids").isNotNull())
+    found = met.mapInArrow(_searcher(k), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
