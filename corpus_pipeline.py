@@ -16,7 +16,7 @@ from gleanery.llm.simhash import drop_near_duplicates
 from gleanery.llm.suffix_arrays import decontaminate
 from gleanery.llm.token_files import stored_documents
 from gleanery.llm.toxicity import drop_toxic
-from gleanery.session import written
+from gleanery.session import remove_folder, scratch_tables, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`. Once a stage is written, the tables it needed for itself
+    and the output of the stage before go; the token store of the last stage stays."""
+    docs, before = table(spark, sf_dir, "documents"), scratch_tables(spark)
     for name, stage in STAGES:
+        passed = scratch_tables(spark) - before
         docs = written(stage(spark, docs, sf_dir), name)
+        for folder in passed:
+            remove_folder(spark, folder)
     return docs

@@ -67,6 +67,13 @@ def remove_scratch(spark: SparkSession) -> None:
     remove_folder(spark, session_folder(spark))
 
 
+def scratch_tables(spark: SparkSession) -> set[str]:
+    """The folders of intermediate tables that this session has now."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {s.getPath().toString() for s in system.listStatus(folder)} if system.exists(folder) else set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the scratch folder, for input that is read several times
     and costs more to compute than to read. Later readers get only their columns. The
