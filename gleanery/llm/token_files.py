@@ -8,20 +8,18 @@ A token store is a folder of two Parquet tables:
   ``block``, ``first`` (ids of the shard before the block), ``width`` (bytes per id),
   ``docs`` (id and number of ids of each document) and ``ids``.
 * ``index``: one row per part of the keys. ``seeds`` and the slot arrays
-  (``fingerprint``, ``shard``, ``position``) are a minimal perfect hash by
+  (``fingerprint``, ``shard``, ``block``, ``position``) are a minimal perfect hash by
   hash-and-displace: n keys fill n slots, a key is found by one seed and one slot, and
   the stored fingerprint rejects keys that were never put in.
 
-Keys are document ids. Repeated ids stand next to each other and share one key, that of
+A key is read where the index says: its block is fetched by (shard, block), and its ids are
+those at its position. Keys are document ids. Repeated ids stand next to each other and share one key, that of
 their first record. Records with a null id come first and have no key.
 """
 
 from __future__ import annotations
 
-import os
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gleanery.llm.common import table
+from gleanery.llm.word_codes import encoded_runs, word_encoder
 from gleanery.session import scratch_dir, written
 
 END_ID = 2
@@ -38,79 +37,19 @@ VOCABULARY = "byte_bpe_50k.json"
 BLOCK_IDS = 1 << 16
 # Keys per part of the index.
 PART_KEYS = 50_000
-# Words that a worker remembers with their ids; at most twice as many.
-CACHED_WORDS = 500_000
-# Begins a piece that follows the one before without a space.
-GLUE = "\0"
-
-_ENCODERS: dict[str, Encoder] = {}
-
 
 class Encoder:
-    """Encodes texts word by word, and each word once.
-
-    The pre-tokenizer cuts before every single space that stands between two other
-    characters, and on both sides of such a single line break. So the ids of a text are
-    the ids of these pieces in a row. A text with other white space, or with the name of
-    a special token, is encoded as a whole.
-    """
+    """Raw ids of texts, with the end id, in as few bytes an id as the vocabulary allows."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # What was used since the caches were last full, and what was used before that.
-        self.words, self.old_words = {}, {}
-        self.line = self._raw(["\n"])[0]
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        own = array("H" if self.width == 2 else "I", ids)
-        if sys.byteorder == "big":
-            own.byteswap()
-        return own.tobytes()
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [self._bytes(x.ids) for x in found]
-
-    def _is_regular(self, text: str) -> bool:
-        """Single spaces and line breaks inside are all the white space there is."""
-        flat = text.replace("\n", " ")
-        plain = flat.isprintable() and "  " not in flat and flat[:1] != " " and flat[-1:] != " "
-        return plain and not any(s in text for s in self.special)
-
-    def _learn(self, missing: set[str]) -> None:
-        kept = {word for word in missing if word in self.old_words}
-        self.words.update((word, self.old_words[word]) for word in kept)
-        new = list(missing - kept)
-        self.words.update(zip(new, self._raw([w[1:] if w[0] == GLUE else " " + w for w in new])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        end = self._bytes([END_ID])
-        pieces: list[list[str] | None] = []
-        for text in texts:
-            # A piece is " word" without its space, or GLUE, a line break and the word after it.
-            lined = ("\n" + text).replace("\n", f" {GLUE}\n") if self._is_regular(text) else None
-            pieces.append(lined and lined.split(" ")[1:])
-        if len(self.words) > CACHED_WORDS:
-            self.old_words, self.words = self.words, {}
-        missing: set[str] = set()
-        for own in pieces:
-            missing.update(set(own or ()).difference(self.words))
-        self._learn(missing)
-        get = self.words.__getitem__
-        known = [None if own is None else b"".join(map(get, own))[len(self.line) :] for own in pieces]
-        rest = iter(self._raw([t for t, own in zip(texts, pieces) if own is None]))
-        return [(next(rest) if ids is None else ids) + end for ids in known]
-
-
-def encoder(path: str) -> Encoder:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        self.path = path
+        self.width = word_encoder(path).width
+
+    def encode(self, texts) -> Iterator[bytes]:
+        """For each text of a list or an Arrow array; a null text has the end id only."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        for _, ids in encoded_runs(texts, self.path):
+            yield np.append(ids, np.uint32(END_ID)).astype(f"<u{self.width}").tobytes()
 
 
 PAYLOAD = (
@@ -136,7 +75,7 @@ def _payload_writer(path: str):
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = Encoder(path)
         shard = TaskContext.get().partitionId()
         block, first, docs, parts, held = 0, 0, [], [], 0
         done: list[tuple] = []
@@ -147,21 +86,18 @@ def _payload_writer(path: str):
 
         for rows in batches:
             keys = rows.column("doc_id").to_pylist()
-            texts = rows.column("text").to_pylist()
-            # Few texts at a time, so that their pieces stay small beside them.
-            for at in range(0, len(keys), 64):
-                for key, raw in zip(keys[at : at + 64], own.encode([t or "" for t in texts[at : at + 64]])):
-                    n = len(raw) // own.width
-                    if docs and held + n > BLOCK_IDS:
-                        done.append(_block(shard, block, first, own.width, docs, parts))
-                        size += held * own.width
-                        block, first, docs, parts, held = block + 1, first + held, [], [], 0
-                        if size > 8 << 20:
-                            yield batch()
-                            done, size = [], 0
-                    docs.append((key, n))
-                    parts.append(raw)
-                    held += n
+            for key, raw in zip(keys, own.encode(rows.column("text"))):
+                n = len(raw) // own.width
+                if docs and held + n > BLOCK_IDS:
+                    done.append(_block(shard, block, first, own.width, docs, parts))
+                    size += held * own.width
+                    block, first, docs, parts, held = block + 1, first + held, [], [], 0
+                    if size > 8 << 20:
+                        yield batch()
+                        done, size = [], 0
+                docs.append((key, n))
+                parts.append(raw)
+                held += n
         if docs:
             done.append(_block(shard, block, first, own.width, docs, parts))
         if done:
@@ -173,14 +109,15 @@ def _payload_writer(path: str):
 def write_payload(docs: DataFrame, path: str, vocabulary: str) -> None:
     """Encode all documents and write their ids in ascending order of doc_id, nulls first.
 
-    Documents are dealt out by ranges of (doc_id, digest of the text), so that a shard
+    Documents are dealt out by ranges of (doc_id, digest of the text, row), so that a shard
     comes before the next one, and sorted inside. The number of shards follows
     ``spark.sql.shuffle.partitions`` and the advisory partition size. A null or empty text
     has the end id only.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange("doc_id", F.xxhash64("text"))
-    ordered = dealt.sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # cuts a run of repeated rows
+    dealt = rows.repartitionByRange("doc_id", F.xxhash64("text"), "row")
+    ordered = dealt.sortWithinPartitions("doc_id", "text").drop("row")
     ids = ordered.mapInArrow(_payload_writer(vocabulary), PAYLOAD)
     ids.write.option("compression", "zstd").parquet(path)
 
@@ -237,8 +174,8 @@ def _bucket_seeds(keys: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return seeds[(_hash(keys, 1) % np.uint64(len(seeds))).astype(np.int64)]
 
 
-INDEX = "part int, n int, seeds binary, fingerprint binary, shard binary, position binary"
-ENTRY = "doc_id long, shard int, position long"
+INDEX = "part int, n int, seeds binary, fingerprint binary, shard binary, block binary, position binary"
+ENTRY = "doc_id long, shard int, block int, position long"
 
 
 def _index_part(rows: pd.DataFrame) -> pd.DataFrame:
@@ -252,27 +189,28 @@ def _index_part(rows: pd.DataFrame) -> pd.DataFrame:
         "seeds": [seeds.astype("<i8").tobytes()],
         "fingerprint": [_hash(keys, 4)[order].astype("<u4").tobytes()],
         "shard": [rows["shard"].to_numpy("<i4")[order].tobytes()],
+        "block": [rows["block"].to_numpy("<i4")[order].tobytes()],
         "position": [rows["position"].to_numpy("<i8")[order].tobytes()],
     }
     return pd.DataFrame(fields)
 
 
 def _read_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("position", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("block", pa.int32()), ("position", pa.int64())])
     for rows in batches:
         for row in rows.to_pylist():
             counts = np.array([d["n"] for d in row["docs"]], np.int64)
             places = row["first"] + np.cumsum(counts) - counts
             ids = pa.array([d["doc_id"] for d in row["docs"]], pa.int64())
-            shard = pa.array(np.full(len(counts), row["shard"], np.int32))
-            yield pa.RecordBatch.from_arrays([ids, shard, pa.array(places)], schema=schema)
+            at = [pa.array(np.full(len(counts), row[name], np.int32)) for name in ("shard", "block")]
+            yield pa.RecordBatch.from_arrays([ids, *at, pa.array(places)], schema=schema)
 
 
 def build_index(payload: DataFrame, path: str) -> None:
     """Write the perfect hash index of a payload, PART_KEYS keys to a part."""
-    places = payload.select("shard", "first", "docs").mapInArrow(_read_places, ENTRY)
+    places = payload.select("shard", "block", "first", "docs").mapInArrow(_read_places, ENTRY)
     keys = places.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
-    entries = keys.agg(F.min(F.struct("shard", "position")).alias("place"))
+    entries = keys.agg(F.min(F.struct("shard", "block", "position")).alias("place"))
     entries = entries.select("doc_id", "place.*")
     parts = payload.agg(F.sum(F.size("docs"))).first()[0] or 0
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts // PART_KEYS + 1)).cast("int")
@@ -283,7 +221,7 @@ def build_index(payload: DataFrame, path: str) -> None:
 def _find(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     ids = keys["doc_id"].to_numpy(np.int64)
     if index.empty or not len(ids):
-        return pd.DataFrame({"doc_id": ids[:0], "shard": ids[:0], "position": ids[:0]})
+        return pd.DataFrame({"doc_id": ids[:0], "shard": ids[:0], "block": ids[:0], "position": ids[:0]})
     row = index.iloc[0]
     seeds = np.frombuffer(row["seeds"], "<i8")
     slot = _slots(ids, _bucket_seeds(ids, seeds), int(row["n"]))
@@ -293,6 +231,7 @@ def _find(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         {
             "doc_id": ids[same],
             "shard": np.frombuffer(row["shard"], "<i4")[slot],
+            "block": np.frombuffer(row["block"], "<i4")[slot],
             "position": np.frombuffer(row["position"], "<i8")[slot],
         }
     )
@@ -301,10 +240,15 @@ def _find(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
 RECORD = "doc_id long, shard int, position long, n_tokens long, ids_crc32 long"
 
 
-def _read_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _records() -> tuple[list[str], pa.Schema]:
     names = [f.split()[0] for f in RECORD.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    schema = pa.schema(list(zip(names, kinds)))
+    return names, pa.schema(list(zip(names, kinds)))
+
+
+def _read_unkeyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records without an id."""
+    names, schema = _records()
     for rows in batches:
         found = []
         for row in rows.to_pylist():
@@ -312,27 +256,47 @@ def _read_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             at = 0
             for doc in row["docs"]:
                 own = ids[at : at + doc["n"]]
-                found.append((doc["doc_id"], row["shard"], row["first"] + at, len(own), zlib.crc32(own)))
+                if doc["doc_id"] is None:
+                    found.append((None, row["shard"], row["first"] + at, len(own), zlib.crc32(own)))
                 at += doc["n"]
         yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in found], schema)
 
 
-def _read_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _found_in(row: dict) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(doc_id, position, ids) of the records that stand where the index says.
+
+    A block comes with `wanted`, (position, doc_id) of keys. A position at which no record
+    begins, or one of another id, gives nothing. The records after it that repeat the id
+    are read on.
+    """
+    ids = np.frombuffer(row["ids"], f"<u{row['width']}")
+    docs = row["docs"]
+    ends = np.cumsum([d["n"] for d in docs])
+    starts = ends - [d["n"] for d in docs]
+    at_start = {int(at): k for k, at in enumerate(starts)}
+    for want in row["wanted"]:
+        k = at_start.get(want["position"] - row["first"], len(docs))
+        while k < len(docs) and docs[k]["doc_id"] == want["doc_id"]:
+            yield want["doc_id"], row["first"] + int(starts[k]), ids[starts[k] : ends[k]]
+            k += 1
+
+
+def _read_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, schema = _records()
+    for rows in batches:
+        for row in rows.to_pylist():
+            found = [
+                (key, row["shard"], at, len(own), zlib.crc32(own.astype("<u4"))) for key, at, own in _found_in(row)
+            ]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in found], schema)
+
+
+def _read_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
     for rows in batches:
-        found = []
         for row in rows.to_pylist():
-            ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype(np.int32)
-            at = row["first"]
-            place = {}
-            for doc in row["docs"]:
-                place[at] = doc["n"]
-                at += doc["n"]
-            for want in row["wanted"]:
-                start = want["position"] - row["first"]
-                own = ids[start : start + place[want["position"]]]
-                found.append({"doc_id": want["doc_id"], "ids": own.tolist()})
-        yield pa.RecordBatch.from_pylist(found, schema)
+            found = [{"doc_id": key, "ids": own.astype(np.int32).tolist()} for key, _, own in _found_in(row)]
+            yield pa.RecordBatch.from_pylist(found, schema)
 
 
 class TokenStore:
@@ -357,20 +321,32 @@ class TokenStore:
         groups = wanted.withColumn("part", part).groupBy("part")
         return groups.cogroup(self.index.groupBy("part")).applyInPandas(_find, ENTRY)
 
-    def records(self) -> DataFrame:
-        """Every record, read from the raw ids: place, doc_id, number of ids, CRC-32."""
-        return self.payload.mapInArrow(_read_records, RECORD)
+    def _wanted(self, places: DataFrame, repeats: bool) -> DataFrame:
+        """The blocks that hold the given places, each with its places.
+
+        With `repeats` also the blocks that begin with the id of a place before them: there
+        the records that repeat the id go on.
+        """
+        wanted = places.select("shard", "block", "position", "doc_id")
+        if repeats:
+            heads = self.payload.select("shard", "block", "first", F.get("docs", F.lit(0))["doc_id"].alias("doc_id"))
+            start = places.select("doc_id", F.col("shard").alias("_shard"), F.col("position").alias("_position"))
+            later = heads.join(start, "doc_id").where(F.struct("shard", "first") > F.struct("_shard", "_position"))
+            wanted = wanted.unionByName(later.select("shard", "block", F.col("first").alias("position"), "doc_id"))
+        grouped = wanted.groupBy("shard", "block").agg(F.collect_list(F.struct("position", "doc_id")).alias("wanted"))
+        return self.payload.join(grouped, ["shard", "block"])
+
+    def records(self, places: DataFrame) -> DataFrame:
+        """All records of the keys at the given places: place, doc_id, number of ids, CRC-32."""
+        return self._wanted(places, True).mapInArrow(_read_found, RECORD)
+
+    def unkeyed(self) -> DataFrame:
+        """The records without an id, which no key can reach."""
+        return self.payload.where(F.exists("docs", lambda d: d["doc_id"].isNull())).mapInArrow(_read_unkeyed, RECORD)
 
     def documents(self, keys: DataFrame) -> DataFrame:
         """The ids of the given documents, found through the index: only their blocks are used."""
-        places = self.lookup(keys)
-        end = F.aggregate("docs.n", F.lit(0).cast("long"), lambda a, n: a + n)
-        spans = self.payload.select("shard", F.col("first").alias("from"), (F.col("first") + end).alias("to"))
-        at = spans.join(places, "shard").where("position >= from and position < to")
-        wanted = at.groupBy("shard", F.col("from").alias("first")).agg(
-            F.collect_list(F.struct("position", "doc_id")).alias("wanted")
-        )
-        return self.payload.join(wanted, ["shard", "first"]).mapInArrow(_read_wanted, "doc_id long, ids array<int>")
+        return self._wanted(self.lookup(keys), True).mapInArrow(_read_ids, "doc_id long, ids array<int>")
 
     def starts(self) -> DataFrame:
         """Ids of the whole store before each shard."""
@@ -392,21 +368,17 @@ def stored_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     """Write `docs` to a new token store and read it back through the index.
 
     One row per document: doc_id, start (ids of all documents before it), n_tokens,
-    ids_crc32, shard, position. Each key is looked up in the index; the records from that
-    place on which bear the key are its documents (several where an id repeats).
-    Documents without an id, which no key can reach, come first. An empty table gives no
-    rows.
+    ids_crc32, shard, position. Each key is looked up in the index, its block is fetched and
+    its ids are those at its position; where an id repeats, the records after it go on, over
+    blocks and shards. Documents without an id, which no key can reach, come first. An
+    empty table gives no rows.
     """
     import public_tokenizers
 
     path = scratch_dir(docs.sparkSession, "tokens")
     store = write_store(docs, path, vocabulary or public_tokenizers.path(VOCABULARY))
-    places = store.lookup(docs).withColumnRenamed("shard", "key_shard")
-    places = places.withColumnRenamed("position", "key_position")
-    records = written(store.records(), "records")
-    behind = F.struct("shard", "position") >= F.struct("key_shard", "key_position")
-    keyed = records.join(places, "doc_id").where(behind)
-    found = keyed.select(records.columns).unionByName(records.where(F.col("doc_id").isNull()))
+    places = written(store.lookup(docs), "places")
+    found = store.records(places).unionByName(store.unkeyed())
     return found.join(store.starts(), "shard").select(
         "doc_id",
         (F.col("base") + F.col("position")).alias("start"),

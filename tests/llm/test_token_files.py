@@ -52,3 +52,27 @@ def test_perfect_hash_is_minimal():
         keys = np.random.default_rng(n).choice(10**12, n, replace=False) - 5 * 10**11
         seeds = perfect_hash(keys)
         assert sorted(_slots(keys, _bucket_seeds(keys, seeds), n)) == list(range(n))
+
+
+def test_repeated_ids_go_on_over_blocks_and_shards(spark, monkeypatch):
+    """One id holds half of the rows, in blocks of few ids; the records of a block share it."""
+    from gleanery.llm import token_files
+
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 40)
+    docs = spark.range(0, 400, 1, 4).selectExpr("if(id % 2 = 0, 7, id) as doc_id", "concat('text ', id, ' and more') as text")
+    got = sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in stored_documents(docs).collect())
+    want = [(r["doc_id"], ids(r["text"])) for r in docs.collect()]
+    assert got == sorted((i, len(t), zlib.crc32(np.array(t, "<u4").tobytes())) for i, t in want)
+
+
+def test_records_are_read_where_the_index_says(spark):
+    """With a spoilt offset, block or shard a key reads nothing; its neighbours are not read."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(k, f"text number {k}") for k in range(50)], "doc_id long, text string")
+    store = write_store(docs, scratch_dir(spark, "store"), PATH)
+    places = store.lookup(docs)
+    assert store.records(places).count() == 50
+    for column in ("position", "block", "shard"):
+        spoilt = places.withColumn(column, F.when(F.col("doc_id") == 20, F.col(column) + 1).otherwise(F.col(column)))
+        assert {r["doc_id"] for r in store.records(spoilt).collect()} == set(range(50)) - {20}
