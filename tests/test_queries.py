@@ -64,6 +64,8 @@ def test_entry(spark):
 PYTHON_JOBS = {
     "extract_html_items", "dispatch_containers", "extract_selectors", "extract_selector_lists", "filter_keyword_tables",
     "sql_paginate_table", "sql_parse_robots_table",
+    # Sources of the given views have `nav a`, which is met on the elements of a page.
+    "dispatch_extract", "extra_fields", "register_extractor", "register_reader", "result_items", "stamp_items",
 }
 
 
@@ -71,7 +73,7 @@ PYTHON_JOBS = {
 def test_plan(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert ("Python" in plan or "InPandas" in plan) == (name in PYTHON_JOBS)
+    assert any(mark in plan for mark in ("Python", "InPandas", "InArrow")) == (name in PYTHON_JOBS)
     assert "SinglePartition" not in plan or name == "run_stats"
 
 
