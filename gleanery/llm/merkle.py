@@ -243,15 +243,14 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([row["grp"]] * len(pos)), places, pa.array(above)], schema=schema)
 
 
-def _cells(rows: DataFrame, block: Column, count: Column | int) -> Column:
+def _cells(block: Column, count: int) -> Column:
     """Segments are dealt by a digest of their place, as many to a cell as fill one."""
     return F.pmod(F.xxhash64("grp", block), F.lit(count)).alias("cell")
 
 
 def _segments(nodes: DataFrame, name: str) -> DataFrame:
-    block = F.floor(F.col("pos") / SEGMENT)
     cells = nodes.count() // SEGMENT + 1
-    dealt = nodes.select("grp", "pos", "n", "leaf", _cells(nodes, block, cells))
+    dealt = nodes.select("grp", "pos", "n", "leaf", _cells(F.floor(F.col("pos") / SEGMENT), cells))
     return written(dealt.groupBy("cell").applyInArrow(_grow, GROWN), name)
 
 
@@ -283,15 +282,17 @@ class Manifest:
 
         Adds subroot, root and folded_root (hex) and siblings, the proof: hex digests of all
         siblings, level by level from the leaf to the root, left to right. A null
-        replacement stands for the leaf itself.
+        replacement stands for the leaf itself. Only the segments of the given rows are
+        read, and a task holds about as many leaves as a segment has.
         """
-        cells = rows.count() // SEGMENT + 1
-        block = F.floor(F.col("pos") / SEGMENT)
+        block = F.floor(F.col("pos") / SEGMENT).alias("block")
+        segments = self.segments.join(rows.select("grp", block).distinct(), ["grp", "block"], "left_semi")
+        cells = (segments.agg(F.sum("count")).first()[0] or 0) // SEGMENT + 1
         kept = [f for f in rows.schema.fields]
         given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
         schema = f"{given}, subroot string, root string, folded_root string, siblings array<string>"
-        changed = rows.withColumn("_changed", F.coalesce(replacement, "leaf")).withColumn("cell", _cells(rows, block, cells))
-        segments = self.segments.withColumn("cell", _cells(self.segments, F.col("block"), cells))
+        changed = rows.withColumn("_changed", F.coalesce(replacement, "leaf")).withColumn("cell", _cells(block, cells))
+        segments = segments.withColumn("cell", _cells(F.col("block"), cells))
         return changed.groupBy("cell").cogroup(segments.groupBy("cell")).applyInArrow(_folder([f.name for f in kept]), schema)
 
 
