@@ -57,7 +57,7 @@ _IRREGULAR = (
 # Bytes of text whose words are encoded together, and words remembered between such runs.
 RUN_BYTES = 8 << 20
 KNOWN_WORDS = 300_000
-# Words in one call text, with a special token between them, and call texts at a time.
+# Words in one call text, and call texts at a time.
 _JOINED = 64
 _CALL_TEXTS = 256
 
@@ -66,6 +66,12 @@ def _text(text: str) -> pa.Scalar:
     return pa.scalar(text, pa.large_string())
 
 
+def _laid_out(ids: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Runs of ids, one after another."""
+    end = np.cumsum(counts)
+    return ids[np.repeat(first - (end - counts), counts) + np.arange(int(end[-1]) if len(end) else 0)]
+
+
 class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -83,11 +89,17 @@ class WordEncoder:
         plain = [t for t in added.values() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.mark = plain[0].content if len(plain) == len(added) and plain else None
         self.by_words = self.mark is not None and (self.drops or self.leads)
+        if self.by_words:
+            # Tokens that end a word of letters, or begin one behind a space.
+            vocabulary = self.tokenizer.get_vocab()
+            self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.edge[[k for t, k in vocabulary.items() if (t.endswith("</w>") if self.drops else t[0] == "Ġ")]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.known_ids, self.known_counts = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self.known_ids = np.zeros(0, "<u4")
+        self.known_first = self.known_counts = np.zeros(0, np.int64)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found: list[np.ndarray] = []
@@ -96,25 +108,49 @@ class WordEncoder:
             found += [np.array(x.ids, "<u4") for x in coded]
         return found
 
-    def _codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words in a row, and how many each has."""
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and counts of words of letters, many in one text. Each is one piece of the
+        pre-tokenizer and has one token at its edge, unless the normalizer makes other
+        characters of its letters: then there are more edges, and the answer is None."""
+        joint = " " if self.drops else ""
+        texts = [joint.join(words[at : at + _JOINED]) for at in range(0, len(words), _JOINED)]
+        flat = np.concatenate([np.zeros(0, "<u4"), *self._whole(texts)])
+        edges = np.flatnonzero(self.edge[flat])
+        if len(edges) != len(words):
+            return None
+        ends = edges + 1 if self.drops else np.append(edges[1:], len(flat))
+        return flat, np.diff(np.concatenate([[0], ends[: len(words)]]))
+
+    def _marked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of any words, many in one text with a special token between them."""
         mark = self.tokenizer.token_to_id(self.mark)
-        first, last = self.mark[:1], self.mark[-1:]
-        odd = [k for k, w in enumerate(words) if first in w or last in w]
-        alone = {k: ids for k, ids in zip(odd, self._whole([words[k] for k in odd]))}
-        calm = [w for k, w in enumerate(words) if k not in alone]
-        joined = [self.mark.join(calm[at : at + _JOINED]) for at in range(0, len(calm), _JOINED)]
+        joined = [self.mark.join(words[at : at + _JOINED]) for at in range(0, len(words), _JOINED)]
         # A mark after each call text too, so that marks and words alternate.
         found = [np.append(ids, np.uint32(mark)) for ids in self._whole(joined)]
-        flat = np.concatenate(found) if found else np.zeros(0, "<u4")
-        ends = np.flatnonzero(flat == mark)
-        counts = np.diff(np.concatenate([[-1], ends])) - 1
-        flat = flat[flat != mark]
-        if not alone:
-            return flat, counts
-        pieces, own = np.split(flat, np.cumsum(counts)[:-1]) if len(counts) else [], iter(range(len(counts)))
-        ordered = [alone[k] if k in alone else pieces[next(own)] for k in range(len(words))]
-        return np.concatenate(ordered), np.array([len(p) for p in ordered], np.int64)
+        flat = np.concatenate([np.zeros(0, "<u4"), *found])
+        counts = np.diff(np.concatenate([[-1], np.flatnonzero(flat == mark)])) - 1
+        return flat[flat != mark], counts
+
+    def _codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each word its first place there and its count."""
+        first, last = self.mark[:1], self.mark[-1:]
+        kinds: list[list[int]] = [[], [], []]
+        for k, word in enumerate(words):
+            letters = word.isalpha() if self.drops else word[:1] == " " and word[1:].isalpha()
+            kinds[0 if letters else 2 if first in word or last in word else 1].append(k)
+        letters, marked, alone = kinds
+        found = [self._letters([words[k] for k in letters])]
+        if found[0] is None:
+            marked, found = sorted(letters + marked), []
+            letters = []
+        found.append(self._marked([words[k] for k in marked]))
+        whole = self._whole([words[k] for k in alone])
+        found.append((np.concatenate([np.zeros(0, "<u4"), *whole]), np.array([len(w) for w in whole], np.int64)))
+        order = np.array(letters + marked + alone, np.int64)
+        counted = np.concatenate([c for _, c in found])
+        counts, firsts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        counts[order], firsts[order] = counted, np.cumsum(counted) - counted
+        return np.concatenate([ids for ids, _ in found]), firsts, counts
 
     def _by_words(self, texts) -> list[np.ndarray]:
         if self.drops:
@@ -127,31 +163,31 @@ class WordEncoder:
         if self.leads:
             words = [w[1:] if w[:1] == GLUE else " " + w for w in words]
         word = coded.indices.to_numpy()
-        ids, counts, places = self._with_known(words, np.bincount(word, minlength=len(words)))
-        first = (np.cumsum(counts) - counts)[places]
-        counts = counts[places]
-        length = counts[word]
-        end = np.cumsum(length)
-        place = np.repeat(first[word] - (end - length), length) + np.arange(int(end[-1]) if len(end) else 0)
+        ids, first, counts = self._with_known(words, np.bincount(word, minlength=len(words)))
+        laid = _laid_out(ids, first[word], counts[word])
         bounds = units.offsets.to_numpy() - units.offsets[0].as_py()
-        at = np.concatenate([[0], end])[bounds]
-        return np.split(ids[place], at[1:-1]) if len(at) > 1 else []
+        at = np.concatenate([[0], np.cumsum(counts[word])])[bounds]
+        return np.split(laid, at[1:-1]) if len(at) > 1 else []
 
     def _with_known(self, words: list[str], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids and counts of known and new words, and the place of each of `words` there."""
+        """Ids of known and new words, and for each of `words` its first place and count."""
         get, known = self.known.get, len(self.known)
         places = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         new = np.flatnonzero(places < 0)
         places[new] = known + np.arange(len(new))
-        new_ids, new_counts = self._codes([words[k] for k in new.tolist()])
-        found = np.concatenate([self.known_ids, new_ids]), np.concatenate([self.known_counts, new_counts]), places
+        new_ids, new_first, new_counts = self._codes([words[k] for k in new.tolist()])
+        ids = np.concatenate([self.known_ids, new_ids])
+        first = np.concatenate([self.known_first, new_first + len(self.known_ids)])[places]
+        counts = np.concatenate([self.known_counts, new_counts])[places]
         if known > KNOWN_WORDS:
             self._forget()
         again = seen[new] > 1
+        kept = new_counts[again]
         self.known.update(zip((words[k] for k in new[again].tolist()), range(len(self.known), len(self.known) + len(new))))
-        self.known_ids = np.concatenate([self.known_ids, new_ids[np.repeat(again, new_counts)]])
-        self.known_counts = np.concatenate([self.known_counts, new_counts[again]])
-        return found
+        self.known_first = np.concatenate([self.known_first, len(self.known_ids) + np.cumsum(kept) - kept])
+        self.known_counts = np.concatenate([self.known_counts, kept])
+        self.known_ids = np.concatenate([self.known_ids, _laid_out(new_ids, new_first[again], kept)])
+        return ids, first, counts
 
     def encode(self, texts) -> list[np.ndarray]:
         """Ids of each text of an Arrow array; a null text is empty."""
