@@ -55,8 +55,8 @@ _IRREGULAR = (
     r"\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
 )
 # Bytes of text whose words are encoded together, and words remembered between such runs.
-RUN_BYTES = 8 << 20
-KNOWN_WORDS = 300_000
+RUN_BYTES = 2 << 20
+KNOWN_WORDS = 200_000
 # Words in one call text, and call texts at a time.
 _JOINED = 64
 _CALL_TEXTS = 256
@@ -69,7 +69,9 @@ def _text(text: str) -> pa.Scalar:
 def _laid_out(ids: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Runs of ids, one after another."""
     end = np.cumsum(counts)
-    return ids[np.repeat(first - (end - counts), counts) + np.arange(int(end[-1]) if len(end) else 0)]
+    place = np.arange(int(end[-1]) if len(end) else 0, dtype=np.int32)
+    place += np.repeat((first - (end - counts)).astype(np.int32), counts)
+    return ids[place]
 
 
 class WordEncoder:
