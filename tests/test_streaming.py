@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.registry import Registry
 from gleanery.operators import aggregates, limits
 from gleanery.plans import flow, views
+from gleanery.plans.catalog import QUERIES
 from gleanery.streaming import streams
 
 from sample_tables import SF
@@ -24,6 +26,25 @@ def files(spark, tmp_path):
 
 
 
+@pytest.fixture(scope="module")
+def parted(spark, tmp_path_factory):
+    """The tables, those that are streamed as folders of several files."""
+    base = tmp_path_factory.mktemp("parted")
+    for name in os.listdir(SF):
+        if name not in ("pages.parquet", "events.parquet"):
+            os.symlink(f"{SF}/{name}", base / name)
+    for name, key in (("pages", "page_id"), ("events", "event_id")):
+        views.read(spark, SF, name).repartition(5, key).write.parquet(f"{base}/{name}.parquet")
+    return str(base)
+
+
+@pytest.mark.parametrize("name", ["stream_containers"])
+def test_queries_over_folders_of_files(spark, parted, name):
+    one, many = (QUERIES[name](spark, sf) for sf in (SF, parted))
+    want = rows_of(one, *one.columns)
+    assert rows_of(many, *one.columns) == want and want
+
+
 def read_schema(spark, path, max_files=1):
     schema = spark.read.parquet(path).schema
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
