@@ -38,7 +38,7 @@ def parted(spark, tmp_path_factory):
     return str(base)
 
 
-@pytest.mark.parametrize("name", ["stream_containers", "stream_items", "stream_outcomes", "stream_report", "stream_run"])
+@pytest.mark.parametrize("name", ["stream_containers", "stream_items", "stream_outcomes", "stream_report", "stream_run", "stream_stats"])
 def test_queries_over_folders_of_files(spark, parted, name):
     one, many = (QUERIES[name](spark, sf) for sf in (SF, parted))
     want = rows_of(one, *one.columns)
