@@ -148,23 +148,27 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
     first = np.cumsum(count) - count
     seeds = np.zeros(buckets, np.int64)
     taken = np.zeros(n, bool)
-    trial = np.arange(0, 64, dtype=np.int64)
+    trial = np.arange(0, 64, dtype=np.uint64)
+    place, step = _hash(keys, 2), _hash(keys, 3) | np.uint64(1)
+    size = np.uint64(n)
     by_size = np.argsort(-count, kind="stable")
     for b in by_size[count[by_size] > 1].tolist():
-        own = keys[order[first[b] : first[b] + count[b]]]
-        base = 0
-        while True:  # 64 seeds at a time
-            seed = base + trial
-            slots = _slots(np.repeat(own, 64), np.tile(seed, len(own)), n).reshape(len(own), 64)
-            fits = ~taken[slots].any(axis=0)
-            ranked = np.sort(slots, axis=0)
-            fits &= (np.diff(ranked, axis=0) != 0).all(axis=0)
-            if fits.any():
-                k = int(np.argmax(fits))
-                seeds[b] = seed[k]
-                taken[slots[:, k]] = True
-                break
-            base += 64
+        own = order[first[b] : first[b] + count[b]]
+        start, stride = place[own][:, None], step[own][:, None]
+        seed = trial
+        while True:  # 64 seeds at a time, as _slots has them
+            slots = (((start + seed * stride) >> np.uint64(16)) % size).astype(np.int64)
+            free = np.flatnonzero(~taken[slots].any(axis=0))
+            for k in free.tolist():
+                found = slots[:, k].tolist()
+                if len(set(found)) == len(found):
+                    seeds[b] = seed[k]
+                    taken[found] = True
+                    break
+            else:
+                seed = seed + np.uint64(64)
+                continue
+            break
     alone = np.flatnonzero(count == 1)
     seeds[alone] = -np.flatnonzero(~taken)[: len(alone)] - 1
     return seeds

@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+from itertools import repeat
 from types import ModuleType
 
 import numpy as np
@@ -114,8 +115,8 @@ class WordEncoder:
         """Ids and counts of words of letters, many in one text. Each is one piece of the
         pre-tokenizer and has one token at its edge, unless the normalizer makes other
         characters of its letters: then there are more edges, and the answer is None."""
-        joint = " " if self.drops else ""
-        texts = [joint.join(words[at : at + _JOINED]) for at in range(0, len(words), _JOINED)]
+        lead = "" if self.drops else " "
+        texts = [lead + " ".join(words[at : at + _JOINED]) for at in range(0, len(words), _JOINED)]
         flat = np.concatenate([np.zeros(0, "<u4"), *self._whole(texts)])
         edges = np.flatnonzero(self.edge[flat])
         if len(edges) != len(words):
@@ -133,20 +134,27 @@ class WordEncoder:
         counts = np.diff(np.concatenate([[-1], np.flatnonzero(flat == mark)])) - 1
         return flat[flat != mark], counts
 
+    def _in_text(self, words: list[str]) -> list[str]:
+        """Words as they stand in a text, with the space before them that belongs to them."""
+        if self.drops:
+            return words
+        return [w[1:] if w[:1] == GLUE else " " + w for w in words]
+
     def _codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and for each word its first place there and its count."""
         first, last = self.mark[:1], self.mark[-1:]
-        kinds: list[list[int]] = [[], [], []]
-        for k, word in enumerate(words):
-            letters = word.isalpha() if self.drops else word[:1] == " " and word[1:].isalpha()
-            kinds[0 if letters else 2 if first in word or last in word else 1].append(k)
-        letters, marked, alone = kinds
+        is_letters = np.fromiter(map(str.isalpha, words), bool, len(words))
+        letters = np.flatnonzero(is_letters).tolist()
         found = [self._letters([words[k] for k in letters])]
+        others = np.flatnonzero(~is_letters).tolist()
         if found[0] is None:
-            marked, found = sorted(letters + marked), []
-            letters = []
-        found.append(self._marked([words[k] for k in marked]))
-        whole = self._whole([words[k] for k in alone])
+            letters, others, found = [], list(range(len(words))), []
+        others_as = dict(zip(others, self._in_text([words[k] for k in others])))
+        marked, alone = [], []
+        for k, word in others_as.items():
+            (alone if first in word or last in word else marked).append(k)
+        found.append(self._marked([others_as[k] for k in marked]))
+        whole = self._whole([others_as[k] for k in alone])
         found.append((np.concatenate([np.zeros(0, "<u4"), *whole]), np.array([len(w) for w in whole], np.int64)))
         order = np.array(letters + marked + alone, np.int64)
         counted = np.concatenate([c for _, c in found])
@@ -161,9 +169,7 @@ class WordEncoder:
             glued = pc.replace_substring(texts, "\n", f" {GLUE}\n")
             units = pc.split_pattern(pc.binary_join_element_wise(_text(GLUE), glued, _text("")), " ")
         coded = units.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if self.leads:
-            words = [w[1:] if w[:1] == GLUE else " " + w for w in words]
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         word = coded.indices.to_numpy()
         ids, first, counts = self._with_known(words, np.bincount(word, minlength=len(words)))
         laid = _laid_out(ids, first[word], counts[word])
@@ -173,8 +179,8 @@ class WordEncoder:
 
     def _with_known(self, words: list[str], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of known and new words, and for each of `words` its first place and count."""
-        get, known = self.known.get, len(self.known)
-        places = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        known = len(self.known)
+        places = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(places < 0)
         places[new] = known + np.arange(len(new))
         new_ids, new_first, new_counts = self._codes([words[k] for k in new.tolist()])

@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from gleanery.llm import token_files
 from gleanery.llm.token_files import Encoder, TokenStore, perfect_hash, stored_documents, write_store, _bucket_seeds, _slots
 from gleanery.session import scratch_dir
 
@@ -76,3 +77,14 @@ def test_records_are_read_where_the_index_says(spark):
     for column in ("position", "block", "shard"):
         spoilt = places.withColumn(column, F.when(F.col("doc_id") == 20, F.col(column) + 1).otherwise(F.col(column)))
         assert {r["doc_id"] for r in store.records(spoilt).collect()} == set(range(50)) - {20}
+
+
+def test_perfect_hash_mixes_the_keys_once(monkeypatch):
+    calls = []
+    mix = token_files._hash
+    monkeypatch.setattr(token_files, "_hash", lambda keys, seed: calls.append(seed) or mix(keys, seed))
+    keys = np.arange(3000) * 7 - 500
+    seeds = token_files.perfect_hash(keys)
+    assert len(calls) <= 3
+    slots = token_files._slots(keys, token_files._bucket_seeds(keys, seeds), len(keys))
+    assert sorted(slots.tolist()) == list(range(len(keys)))
