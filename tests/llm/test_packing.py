@@ -201,3 +201,16 @@ def test_query(spark):
     assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
     total = sum(r["length"] for r in rows)
     assert len({r["sequence_id"] for r in rows}) <= -(-total // 4096) + 1
+
+
+def test_words_of_letters_are_encoded_as_they_come(monkeypatch):
+    """Only other words are made into the form they have in a text, and once."""
+    encoder, made = WordEncoder(BYTES), []
+    form = encoder._in_text
+    monkeypatch.setattr(encoder, "_in_text", lambda words: made.extend(words) or form(words))
+    texts = ["some words, some\nlines ab12", "words again ab12 words", "été ab12"]
+    for _ in range(2):
+        found = encoder.encode(pa.array(texts))
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [ids.tolist() for ids in found] == want
+    assert made.count("ab12") == 1 and not {"some", "again"} & set(made)
