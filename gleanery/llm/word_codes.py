@@ -3,8 +3,9 @@
 A public tokenizer whose pre-tokenizer never joins what stands on two sides of white space
 gives a text the ids of its words in a row. Arrow cuts a run of texts into words and
 numbers the distinct ones, the tokenizer encodes those, and numpy lays their ids out
-in the order of the texts. Words that repeat inside a run are remembered for the next runs,
-up to a bound; beyond that memory is that of a run.
+in the order of the texts. Words are remembered for the next runs, up to a bound; beyond
+that memory is that of a run. A mark behind a letter begins a word of its own there, as it
+does in the pre-tokenizers, so that a word is encoded once whatever mark follows it.
 
 Two pre-tokenizers are known; their settings are compared, not guessed. One drops white
 space; of the other a single space belongs to the word after it. Texts of any other
@@ -16,7 +17,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-from itertools import repeat
 from types import ModuleType
 
 import numpy as np
@@ -55,9 +55,12 @@ _IRREGULAR = (
     r"^[ \n]|[ \n]\z|[ \n][ \n]|[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}"
     r"\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
 )
+# A letter and the mark behind it. Of these letters lower case and NFC make no other kind of
+# character, and no mark joins them.
+_MARK_BEHIND = r"([a-zß-öø-ÿα-ωа-я])([!-/:-@\[-`{-~])"
 # Bytes of text whose words are encoded together, and words remembered between such runs.
 RUN_BYTES = 2 << 20
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 150_000
 # Words in one call text, and call texts at a time.
 _JOINED = 64
 _CALL_TEXTS = 256
@@ -100,7 +103,8 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
+        self.known_runs = np.zeros(0, np.int32)
         self.known_ids = np.zeros(0, "<u4")
         self.known_first = self.known_counts = np.zeros(0, np.int64)
 
@@ -169,33 +173,60 @@ class WordEncoder:
             glued = pc.replace_substring(texts, "\n", f" {GLUE}\n")
             units = pc.split_pattern(pc.binary_join_element_wise(_text(GLUE), glued, _text("")), " ")
         coded = units.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         word = coded.indices.to_numpy()
-        ids, first, counts = self._with_known(words, np.bincount(word, minlength=len(words)))
+        ids, first, counts = self._in_parts(coded.dictionary)
         laid = _laid_out(ids, first[word], counts[word])
         bounds = units.offsets.to_numpy() - units.offsets[0].as_py()
         at = np.concatenate([[0], np.cumsum(counts[word])])[bounds]
         return np.split(laid, at[1:-1]) if len(at) > 1 else []
 
-    def _with_known(self, words: list[str], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _in_parts(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, and for each its first place and count. Those with marks
+        behind letters have the ids of their parts in a row; special tokens are not cut."""
+        cut = pc.match_substring_regex(words, _MARK_BEHIND)
+        for name in self.special:
+            cut = pc.and_not(cut, pc.match_substring(words, name))
+        whole, pieced = words.filter(pc.invert(cut)), words.filter(cut)
+        parts = pc.replace_substring_regex(pieced, _MARK_BEHIND, r"\1 \2" if self.drops else rf"\1 {GLUE}\2")
+        parts = pc.split_pattern(parts, " ")
+        coded = pa.concat_arrays([whole, parts.flatten()]).dictionary_encode()
+        part = coded.indices.to_numpy()
+        ids, first, counts = self._with_known(coded.dictionary)
+        bounds = np.concatenate([np.arange(len(whole)), len(whole) + parts.offsets.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(counts[part])])[bounds]
+        order = np.argsort(cut.to_numpy(zero_copy_only=False), kind="stable")
+        firsts, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        firsts[order], lengths[order] = ends[:-1], np.diff(ends)
+        return _laid_out(ids, first[part], counts[part]), firsts, lengths
+
+    def _with_known(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of known and new words, and for each of `words` its first place and count."""
         known = len(self.known)
-        places = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        places = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
         new = np.flatnonzero(places < 0)
+        self.known_runs[places[places >= 0]] += 1
         places[new] = known + np.arange(len(new))
-        new_ids, new_first, new_counts = self._codes([words[k] for k in new.tolist()])
-        ids = np.concatenate([self.known_ids, new_ids])
-        first = np.concatenate([self.known_first, new_first + len(self.known_ids)])[places]
-        counts = np.concatenate([self.known_counts, new_counts])[places]
-        if known > KNOWN_WORDS:
-            self._forget()
-        again = seen[new] > 1
-        kept = new_counts[again]
-        self.known.update(zip((words[k] for k in new[again].tolist()), range(len(self.known), len(self.known) + len(new))))
-        self.known_first = np.concatenate([self.known_first, len(self.known_ids) + np.cumsum(kept) - kept])
-        self.known_counts = np.concatenate([self.known_counts, kept])
-        self.known_ids = np.concatenate([self.known_ids, _laid_out(new_ids, new_first[again], kept)])
-        return ids, first, counts
+        new_words = words.take(pa.array(new))
+        new_ids, new_first, new_counts = self._codes(new_words.to_numpy(zero_copy_only=False).tolist())
+        self.known = pa.concat_arrays([self.known, new_words])
+        self.known_runs = np.concatenate([self.known_runs, np.ones(len(new), np.int32)])
+        self.known_first = np.concatenate([self.known_first, len(self.known_ids) + new_first])
+        self.known_counts = np.concatenate([self.known_counts, new_counts])
+        self.known_ids = np.concatenate([self.known_ids, new_ids])
+        found = self.known_ids, self.known_first[places], self.known_counts[places]
+        if len(self.known) > KNOWN_WORDS:
+            self._keep_met_again()
+        return found
+
+    def _keep_met_again(self) -> None:
+        """Of the known words those of several runs stay, unless they are too many themselves."""
+        kept = np.flatnonzero(self.known_runs > 1)
+        if len(kept) > KNOWN_WORDS // 2:
+            return self._forget()
+        counts = self.known_counts[kept]
+        self.known_ids = _laid_out(self.known_ids, self.known_first[kept], counts)
+        self.known_first, self.known_counts = np.cumsum(counts) - counts, counts
+        self.known, self.known_runs = self.known.take(pa.array(kept)), np.ones(len(kept), np.int32)
 
     def encode(self, texts) -> list[np.ndarray]:
         """Ids of each text of an Arrow array; a null text is empty."""
@@ -227,3 +258,4 @@ def encoded_runs(texts, path: str):
     encoder = word_encoder(path)
     for first, last in runs_of_texts(bounds, RUN_BYTES):
         yield from zip(range(first, last), encoder.encode(texts.slice(first, last - first)))
+        pa.default_memory_pool().release_unused()  # else each worker keeps the most it ever held

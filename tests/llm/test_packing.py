@@ -214,3 +214,29 @@ def test_words_of_letters_are_encoded_as_they_come(monkeypatch):
         want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
         assert [ids.tolist() for ids in found] == want
     assert made.count("ab12") == 1 and not {"some", "again"} & set(made)
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow(monkeypatch):
+    """Also in later runs; and in no more than the bound are words remembered."""
+    for path in WORDS, BYTES:
+        encoder, coded = WordEncoder(path), []
+        codes = encoder._codes
+        monkeypatch.setattr(encoder, "_codes", lambda words: coded.extend(words) or codes(words))
+        for texts in (["a word, worth it."], ["worth a word; it's été, (word)"], ["word! x<|endoftext|>y, İ, e\u0301, <|end"]):
+            found = encoder.encode(pa.array(texts))
+            want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+            assert [ids.tolist() for ids in found] == want
+        assert coded.count("word") == 1 and coded.count("worth") == 1 and coded.count("été") == 1
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    from gleanery.llm import word_codes
+
+    monkeypatch.setattr(word_codes, "KNOWN_WORDS", 20)
+    encoder = WordEncoder(BYTES)
+    for run in range(12):
+        texts = [" ".join(f"{stem}{'x' * (run * 3 + k)}," for k in range(3) for stem in ("some", "other")) + " stay, stay"]
+        found = encoder.encode(pa.array(texts))
+        assert found[0].tolist() == encoder.tokenizer.encode(texts[0], add_special_tokens=False).ids
+        assert len(encoder.known) <= 20
+    assert "stay" in encoder.known.to_pylist()
