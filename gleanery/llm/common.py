@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -45,6 +45,16 @@ def utf8_buffer(texts) -> tuple[np.ndarray, np.ndarray]:
     return buffer, bounds
 
 
+def given_back(batches: Iterable) -> Iterator:
+    """The batches one by one. Behind each, Arrow's unused memory goes back to the system; a
+    worker, which serves many stages, would else keep the most it ever held."""
+    import pyarrow as pa
+
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 def runs_of_texts(bounds: np.ndarray, max_bytes: int) -> Iterable[tuple[int, int]]:
     """Cut consecutive texts into runs of about `max_bytes`; a longer text is its own run."""
     first = 0

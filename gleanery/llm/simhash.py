@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType
 
-from gleanery.llm.common import packed, table, utf8_buffer
+from gleanery.llm.common import given_back, packed, table, utf8_buffer
 from gleanery.llm.components import components
 from gleanery.session import written
 
@@ -68,7 +68,7 @@ def simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """SimHash of each text as a signed long: lower-cased A-Z, words between ASCII white
     space, shingles of three words with repeats, XXH64 with seed 42. A text of fewer
     words is one shingle; null and empty texts have fingerprint 0."""
-    for texts in batches:
+    for texts in given_back(batches):
         data, bounds = utf8_buffer(texts)
         data = memoryview(data)
         found = [fingerprint_of(bytes(data[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]
@@ -177,7 +177,7 @@ def link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield emit(reached, np.full(len(reached), value))
 
     held_keys, held_values = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
-    for rows in batches:
+    for rows in given_back(batches):
         columns = [rows.column(c).to_numpy() for c in ("part", "bucket")]
         keys = np.concatenate((held_keys, np.column_stack(columns)))
         values = np.concatenate((held_values, rows.column("fp").to_numpy().view(np.uint64)))

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleanery.llm.common import packed, runs_of_texts, utf8_buffer
+from gleanery.llm.common import given_back, packed, runs_of_texts, utf8_buffer
 from gleanery.session import written
 
 WINDOW = 10
@@ -254,7 +254,7 @@ def _scanner(block):
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bench = Benchmark.of(block.value)
-        for texts in batches:
+        for texts in given_back(batches):
             data, bounds = utf8_buffer(texts)
             rows = []
             for first, last in runs_of_texts(bounds, SHARD_BYTES):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gleanery.llm.common import table
+from gleanery.llm.common import given_back, table
 from gleanery.llm.word_codes import encoded_runs, word_encoder
 from gleanery.session import scratch_dir, written
 
@@ -84,7 +84,7 @@ def _payload_writer(path: str):
         def batch():
             return pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in done], kind)
 
-        for rows in batches:
+        for rows in given_back(batches):
             keys = rows.column("doc_id").to_pylist()
             for key, raw in zip(keys, own.encode(rows.column("text"))):
                 n = len(raw) // own.width
@@ -201,7 +201,7 @@ def _index_part(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _read_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("block", pa.int32()), ("position", pa.int64())])
-    for rows in batches:
+    for rows in given_back(batches):
         for row in rows.to_pylist():
             counts = np.array([d["n"] for d in row["docs"]], np.int64)
             places = row["first"] + np.cumsum(counts) - counts
@@ -253,7 +253,7 @@ def _records() -> tuple[list[str], pa.Schema]:
 def _read_unkeyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The records without an id."""
     names, schema = _records()
-    for rows in batches:
+    for rows in given_back(batches):
         found = []
         for row in rows.to_pylist():
             ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
@@ -287,7 +287,7 @@ def _found_in(row: dict) -> Iterator[tuple[int, int, np.ndarray]]:
 
 def _read_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, schema = _records()
-    for rows in batches:
+    for rows in given_back(batches):
         for row in rows.to_pylist():
             found = [
                 (key, row["shard"], at, len(own), zlib.crc32(own.astype("<u4"))) for key, at, own in _found_in(row)
@@ -297,7 +297,7 @@ def _read_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _read_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    for rows in batches:
+    for rows in given_back(batches):
         for row in rows.to_pylist():
             found = [{"doc_id": key, "ids": own.astype(np.int32).tolist()} for key, _, own in _found_in(row)]
             yield pa.RecordBatch.from_pylist(found, schema)

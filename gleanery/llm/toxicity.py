@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from gleanery.llm.common import fold, packed, table
+from gleanery.llm.common import fold, given_back, packed, table
 from gleanery.llm.labelled import training_sample
 from gleanery.session import written
 
@@ -143,7 +143,7 @@ def toxic_features(lexicons):
 
     def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known = [Lexicon(terms) for terms in lexicons.value]
-        for texts, which in batches:
+        for texts, which in given_back(batches):
             rows = [features_of(t or "", known[k]) for t, k in zip(texts.to_pylist(), which.to_pylist())]
             yield pa.array(rows, pa.list_(pa.float64()))
 
@@ -153,7 +153,7 @@ def toxic_features(lexicons):
 @F.arrow_udf(ArrayType(StringType()))
 def distinct_terms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Distinct words of four letters or more and their beginnings."""
-    for texts in batches:
+    for texts in given_back(batches):
         rows = []
         for text in texts.to_pylist():
             words = {w for w in _WORD.findall((text or "").lower()) if len(w) >= BEGINNINGS[0]}

@@ -25,3 +25,28 @@ def test_stages_take_empty_tables_and_other_columns(spark, odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES:
             docs = written(stage(spark, docs, SF), name)
         assert docs.columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_workers_give_memory_back(monkeypatch, spark):
+    """Behind each batch the memory that Arrow has freed goes back to the system."""
+    import pyarrow as pa
+
+    from gleanery.llm import simhash, toxicity
+
+    given = []
+
+    class Pool:
+        def release_unused(self):
+            given.append(1)
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    batches = [pa.array(["one two three", None]), pa.array(["four"]), pa.array([], pa.string())]
+    lexicons = spark.sparkContext.broadcast([{"four": 1.0}])
+    for name, found in (
+        ("fingerprints", simhash.simhash.func(iter(batches))),
+        ("features", toxicity.toxic_features(lexicons).func((b, pa.array([0] * len(b))) for b in batches)),
+        ("terms", toxicity.distinct_terms.func(iter(batches))),
+    ):
+        given.clear()
+        assert [len(x) for x in found] == [2, 1, 0], name
+        assert len(given) == 3, name
